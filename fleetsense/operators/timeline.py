@@ -34,6 +34,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """Evaluate once into the shared checkpoint folder; what is built on top starts from there."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 @dataclass(frozen=True)
 class Heavy:
     """Keys above the row limit with the start and width (microseconds) of their slices."""
@@ -154,9 +160,8 @@ class Timeline:
                 pick = F.max_by if s.kind == "last" else F.min_by
                 total = pick(s.expr, F.when(s.expr.isNotNull(), order))
             totals.append(total.alias(f"_t_{n}"))
-        ensure_checkpoint_dir(self.df.sparkSession)
         keys = self.key + [SLICE]
-        per_slice = self.df.where(F.col(SLICE).isNotNull()).groupBy(*keys).agg(*totals).checkpoint()
+        per_slice = saved(self.df.where(F.col(SLICE).isNotNull()).groupBy(*keys).agg(*totals))
         w = Window.partitionBy(*(self.key or [F.lit(0)])).orderBy(SLICE)
         before = w.rowsBetween(Window.unboundedPreceding, -1)
         after = w.rowsBetween(1, Window.unboundedFollowing)

@@ -1,6 +1,6 @@
 """Query catalogue. Importing the package registers every query."""
 
-from . import chain_queries  # noqa: F401
+from . import chain_queries, metric_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
