@@ -113,13 +113,13 @@ def from_spark(fitted, features: list[str]) -> dict:
     gbt = fitted.stages[-1]
 
     def walk(node):
-        if node.numDescendants() == 0:
-            return node.prediction()
+        if node.getClass().getSimpleName() == "LeafNode":
+            return float(node.prediction())
         split = node.split()
-        return (features[split.featureIndex()], split.threshold(), walk(node.leftChild()), walk(node.rightChild()))
+        return (features[split.featureIndex()], float(split.threshold()), walk(node.leftChild()), walk(node.rightChild()))
 
     def scaled(t, w):
         return t * w if isinstance(t, float) else (t[0], t[1], scaled(t[2], w), scaled(t[3], w))
 
-    trees = [scaled(walk(t._call_java("rootNode")), w) for t, w in zip(gbt.trees, gbt.treeWeights)]
+    trees = [scaled(walk(t._java_obj.rootNode()), w) for t, w in zip(gbt.trees, gbt.treeWeights)]
     return {"init": 0.0, "scale": 2.0, "trees": trees}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
 from ..rules import RECHECK_HOURS, SETTLE_HOURS, THIN_SHARE
+from .timeline import saved
 
 HOUR = "interval 1 hour"
 
@@ -44,6 +44,7 @@ def held_scores(scored: DataFrame, health: DataFrame) -> DataFrame:
 
     Counting thin hours up to each hour of the ledger turns the range test into two equi-joins on the hour.
     """
+    health = saved(health)
     first, last = health.agg(F.min("t")).scalar(), health.agg(F.max("t")).scalar()
     spine = health.sparkSession.range(1).select(F.explode(F.sequence(first, last, F.expr(HOUR))).alias("t"))
     upto = F.count_if(F.coalesce("thin", F.lit(False))).over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
@@ -54,7 +55,7 @@ def held_scores(scored: DataFrame, health: DataFrame) -> DataFrame:
 
     low = count.select((F.col("t") + F.expr(HOUR)).alias("_lo"), F.col("n").alias("_n0"))
     high = count.select(F.col("t").alias("_hi"), F.col("n").alias("_n1"))
-    d = scored.withColumns({"_lo": F.date_trunc("hour", "at"), "_hi": at_or_before(F.col("next_t0"))})
+    d = scored.withColumns({"_lo": F.greatest(F.least(F.date_trunc("hour", "at"), last + F.expr(HOUR)), first), "_hi": at_or_before(F.col("next_t0"))})
     d = d.join(low, "_lo", "left").join(high, "_hi", "left")
     thin = F.coalesce("_n1", F.lit(0)) > F.coalesce("_n0", F.lit(0))
     return d.withColumn("held", F.col("next_t0").isNotNull() & thin).drop("_lo", "_hi", "_n0", "_n1")

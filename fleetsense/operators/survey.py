@@ -38,3 +38,16 @@ def validate(state: DataFrame) -> DataFrame:
         lo, hi = S.wilson(k, F.nullif(n, F.lit(0)))
         out += [S.percent(k, n).alias(f"{name}_pct"), lo.alias(f"{name}_lo"), hi.alias(f"{name}_hi")]
     return state.agg(*out)
+
+
+def alarmed_probability(surveys: DataFrame, marked: DataFrame, trips: DataFrame, heavy: Heavy | None = None,
+                        heavy_station: Heavy | None = None) -> DataFrame:
+    """Model probability, at survey time, of the bikes that were on alarm then."""
+    from . import chains, features, model
+
+    state = state_before(surveys, marked, heavy).where("alarm").select("id", "bike", "at", "status", F.col("last_ord").alias("ord"))
+    hist = chains.history(marked, 7, heavy).with_columns(chain=S.chain_after()).done()
+    hist = hist.where("chain >= 2").select("bike", "ord", "t1", "st1", "chain", F.col("hist_duds").alias("hist7_duds"), F.col("hist_rentals").alias("hist7_rentals"),
+                                           (F.col("hist_alarms") - 1).alias("prior_alarms7"), S.seconds_between("t0", "t1").alias("dur_sec"))
+    d = state.join(hist, ["bike", "ord"]).withColumns({"age_h": S.hours_between("t1", "at"), "_id": F.col("id")})
+    return features.with_shun(d.select(*d.columns, F.col("id").alias("_keep")), trips, heavy=heavy_station).drop("_keep").withColumn("p", model.probability())

@@ -1,6 +1,6 @@
 """Query catalogue. Importing the package registers every query."""
 
-from . import chain_queries, list_queries, metric_queries, scalar_queries  # noqa: F401
+from . import chain_queries, ev_queries, list_queries, metric_queries, model_queries, scalar_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -338,18 +338,18 @@ def _(t):
 
 
 
-@query("rehearsal", sql("marked", """, w as (select cast(v as bigint) days from (values (1), (3), (7)) x(v)),
-    base as (select w.days, cast(d.d + interval 1 day as date) as "day", t.bike, t.t0, t.ord, t.dud, t.who, t.st1
-      from w, (select distinct cast(t0 as date) d from marked) d join marked t on t.t0 < d.d + interval 1 day and t.t0 >= d.d + interval 1 day - to_days(cast(w.days as int))),
-    r1 as (select *, coalesce(who = lag(who) over q, false) retry, coalesce(lag(dud) over q, false) pd from base window q as (partition by days, "day", bike order by t0, ord)),
-    r2 as (select *, sum(case when pd then 0 else 1 end) over (partition by days, "day", bike order by t0, ord) run from r1),
-    r3 as (select *, row_number() over (partition by days, "day", bike, run order by t0, ord) rn, row_number() over (partition by days, "day", bike order by t0 desc, ord desc) lr from r2),
-    r4 as (select *, sum(case when rn > 1 and not retry then 1 else 0 end) over (partition by days, "day", bike, run order by t0, ord) streak from r3),
-    ls as (select days, "day", bike from r4 where lr = 1 and dud and streak + 1 >= 2 and cast(t0 as date) = "day" - 1),
+@query("rehearsal", sql("marked", """, w as (select cast(v as bigint) win from (values (1), (3), (7)) x(v)),
+    base as (select w.win, cast(d.d + interval 1 day as date) as "day", t.bike, t.t0, t.ord, t.dud, t.who, t.st1
+      from w, (select distinct cast(t0 as date) d from marked) d join marked t on t.t0 < d.d + interval 1 day and t.t0 >= d.d + interval 1 day - to_days(cast(w.win as int))),
+    r1 as (select *, coalesce(who = lag(who) over q, false) retry, coalesce(lag(dud) over q, false) pd from base window q as (partition by win, "day", bike order by t0, ord)),
+    r2 as (select *, sum(case when pd then 0 else 1 end) over (partition by win, "day", bike order by t0, ord) run from r1),
+    r3 as (select *, row_number() over (partition by win, "day", bike, run order by t0, ord) rn, row_number() over (partition by win, "day", bike order by t0 desc, ord desc) lr from r2),
+    r4 as (select *, sum(case when rn > 1 and not retry then 1 else 0 end) over (partition by win, "day", bike, run order by t0, ord) streak from r3),
+    ls as (select win, "day", bike from r4 where lr = 1 and dud and streak + 1 >= 2 and cast(t0 as date) = "day" - 1),
     fl as (select cast(cast(t0 as date) + interval 1 day as date) as "day", bike from (select *, row_number() over (partition by bike, cast(t0 as date) order by t0 desc, ord desc) r from marked) where r = 1 and chain >= 2),
-    jj as (select w.days, f.day, f.bike fb, cast(null as varchar) lb from w, fl f union all select days, "day", null, bike from ls),
-    k as (select days, "day", coalesce(fb, lb) bike, count(fb) f, count(lb) l from jj group by 1, 2, 3)
-    select days, "day", count(*) filter (where l > 0) n_left, count(*) filter (where f > 0) n_right, count(*) filter (where l > 0 and f > 0) common,
+    jj as (select w.win, f.day, f.bike fb, cast(null as varchar) lb from w, fl f union all select win, "day", null, bike from ls),
+    k as (select win, "day", coalesce(fb, lb) bike, count(fb) f, count(lb) l from jj group by 1, 2, 3)
+    select win as "days", "day", count(*) filter (where l > 0) n_left, count(*) filter (where f > 0) n_right, count(*) filter (where l > 0 and f > 0) common,
       count(*) filter (where l = 0) missed, cast(100 as double) * count(*) filter (where l > 0 and f > 0) / count(*) jaccard_pct from k group by 1, 2"""))
 def _(t):
     from ..operators.rehearsal import rehearse

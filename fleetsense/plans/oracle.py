@@ -47,7 +47,7 @@ def cte(name: str, needs: tuple[str, ...], text: str) -> None:
     PARTS[name] = (needs, text)
 
 
-def sql(needs: str, body: str) -> str:
+def sql(needs: str, body: str, recursive: bool = False) -> str:
     """Body with the named table expressions (and what they need) in front."""
     seen: list[str] = []
 
@@ -61,4 +61,4 @@ def sql(needs: str, body: str) -> str:
     for n in needs.split():
         visit(n)
     # expressions read more than once are computed once
-    return "with " + ",\n".join(f"{n} as materialized ({PARTS[n][1]})" for n in seen) + "\n" + body
+    return ("with recursive " if recursive else "with ") + ",\n".join(f"{n} as materialized ({PARTS[n][1]})" for n in seen) + "\n" + body

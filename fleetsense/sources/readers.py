@@ -165,7 +165,8 @@ EV_TIME = "yyyyMMddHHmmss"
 
 def ev_of(df: DataFrame) -> DataFrame:
     """Charger snapshots: compact times parsed, charger key, operator from the first two letters of the site."""
-    return df.select(S.safe_ts(F.col("at")).alias("at"), F.concat_ws("-", "statId", "chgerId").alias("charger"),
+    carried = [F.col("ord")] if "ord" in df.columns else []
+    return df.select(*carried, S.safe_ts(F.col("at")).alias("at"), F.concat_ws("-", "statId", "chgerId").alias("charger"),
                      F.substring("statId", 1, 2).alias("op"), "stat", S.safe_ts(F.col("lastTsdt"), EV_TIME).alias("start"),
                      S.safe_ts(F.col("lastTedt"), EV_TIME).alias("end"), S.safe_ts(F.col("nowTsdt"), EV_TIME).alias("now_start"))
 
