@@ -13,7 +13,6 @@ from .timeline import Heavy, Timeline, last_known, next_known, running_max, runn
 ZERO_MAX, SHORT_MAX = 0.01, 0.10
 GAP_MINUTES = 25
 OFFLINE = ("1", "4", "5")
-ONE = F.lit(1)
 
 
 def minutes() -> Column:
@@ -78,7 +77,7 @@ def segments(times: DataFrame, gap_minutes: int = GAP_MINUTES) -> DataFrame:
 
 
 def spans(segs: DataFrame) -> DataFrame:
-    return segs.groupBy("seg").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.count(ONE).alias("runs")).withColumn(
+    return segs.groupBy("seg").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.count("*").alias("runs")).withColumn(
         "hours", (F.unix_micros("end") - F.unix_micros("start")) / 3.6e9)
 
 
@@ -88,7 +87,7 @@ def collection_gaps(times: DataFrame) -> DataFrame:
     rows = Timeline(times, [], ["at"], slice_by=day).add(_p=last_known(F.struct("at"))).done()
     gap = (F.unix_micros("at") - F.unix_micros("_p.at")) / 6e7
     # gaps are counted by value before the median, so its input is the few distinct gaps
-    per = rows.groupBy(gap.alias("g")).agg(F.count(ONE).alias("c"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    per = rows.groupBy(gap.alias("g")).agg(F.count("*").alias("c"), F.min("at").alias("lo"), F.max("at").alias("hi"))
     return per.agg(F.sum("c").alias("runs"), F.percentile("g", F.lit(0.5), F.col("c")).alias("median_gap_min"), F.max("g").alias("max_gap_min"),
                    ((F.unix_micros(F.max("hi")) - F.unix_micros(F.min("lo"))) / 3.6e9).alias("hours"))
 
@@ -105,9 +104,9 @@ def segment_sessions(snapshots: DataFrame, segs: DataFrame) -> DataFrame:
 
 
 def operator_quality(sess: DataFrame, rule: EvRule = EvRule()) -> DataFrame:
-    zero = F.count_if("zero") / F.count(ONE)
-    short = F.count_if((F.col("minutes") > 0) & (F.col("minutes") <= rule.max_min)) / F.count(ONE)
-    return sess.groupBy("op").agg(F.count(ONE).alias("sessions"), F.count_distinct("charger").alias("chargers"), zero.alias("zero"),
+    zero = F.count_if("zero") / F.count("*")
+    short = F.count_if((F.col("minutes") > 0) & (F.col("minutes") <= rule.max_min)) / F.count("*")
+    return sess.groupBy("op").agg(F.count("*").alias("sessions"), F.count_distinct("charger").alias("chargers"), zero.alias("zero"),
                                   short.alias("short"), ((zero < ZERO_MAX) & (short < SHORT_MAX)).alias("clean"))
 
 
@@ -119,7 +118,7 @@ def persistence(sess: DataFrame, rule: EvRule = EvRule(), ks=(1, 2, 3), heavy: H
     known = F.col("dud") & ~F.col("retry") & F.col("_n").isNotNull()
     cells = [F.struct(F.lit(k).cast("long").alias("k"), F.count_if(known & (F.col("streak") == k - 1)).alias("n"),
                       F.count_if(known & (F.col("streak") == k - 1) & F.col("_n.dud")).alias("hits")) for k in ks]
-    return m.agg(F.count(ONE).alias("sessions"), (F.count_if("dud") / F.count(ONE)).alias("base"), F.array(*cells).alias("c")).select(
+    return m.agg(F.count("*").alias("sessions"), (F.count_if("dud") / F.count("*")).alias("base"), F.array(*cells).alias("c")).select(
         "sessions", "base", F.explode("c").alias("c")).select("sessions", "base", "c.*")
 
 

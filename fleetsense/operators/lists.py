@@ -11,7 +11,6 @@ from . import chains
 from .temporal import asof
 from .timeline import Heavy, Timeline
 
-ONE = F.lit(1)
 
 
 def with_station(df: DataFrame, stations: DataFrame, key: str = "station") -> DataFrame:
@@ -80,7 +79,7 @@ def morning_list_of(trips: DataFrame, day: Column, stations: DataFrame, days: in
 def first_rider_retro(lists: DataFrame) -> DataFrame:
     truth = F.col("truth_first_rider_dud")
     return lists.groupBy("day").agg(F.count(truth).alias("known"), F.count_if(truth).alias("hits"),
-                                    (F.count(ONE) - F.count(truth)).alias("never_ridden"))
+                                    (F.count("*") - F.count(truth)).alias("never_ridden"))
 
 
 def rank_stations(entries: DataFrame, broken: DataFrame | None = None, *by: str) -> DataFrame:
@@ -92,7 +91,7 @@ def rank_stations(entries: DataFrame, broken: DataFrame | None = None, *by: str)
     p = F.col("p") if "p" in entries.columns else F.lit(None).cast("double")
     g = entries.groupBy(*by, "station").agg(
         F.count_if(F.coalesce(F.col("_b"), F.lit(0)) > 0).alias("confirmed"), F.sum(p).alias("expected"),
-        F.sum("chain").alias("chain_sum"), F.count(ONE).alias("bikes"))
+        F.sum("chain").alias("chain_sum"), F.count("*").alias("bikes"))
     w = Window.partitionBy(*by).orderBy(F.desc("confirmed"), F.desc_nulls_last("expected"), F.desc("chain_sum"), F.desc("bikes"), "station")
     return g.withColumn("rank", F.row_number().over(w))
 
@@ -106,7 +105,7 @@ def filter_district(entries: DataFrame, stations: DataFrame, gu: str | None = No
 def top_per_list(samples: DataFrame, k: int, order: list[Column], at: str = "at") -> DataFrame:
     """Best k of each list; lists shorter than k are skipped. A list holds only bikes standing at that moment."""
     w = Window.partitionBy(at).orderBy(*order)
-    n = F.count(ONE).over(Window.partitionBy(at))
+    n = F.count("*").over(Window.partitionBy(at))
     return samples.withColumns({"_r": F.row_number().over(w), "_n": n}).where(
         (F.col("_r") <= k) & (F.col("_n") >= k)).withColumnRenamed("_r", "rank").drop("_n")
 
@@ -132,8 +131,8 @@ def nearest_stations(entries: DataFrame, stations: DataFrame, lat: float, lon: f
 def guarantee(entries: DataFrame, q: float, *by: str) -> DataFrame:
     """Expected hits and the cautious lower bound of a list; null if any probability is missing."""
     mu, sd = F.sum("p"), F.sqrt(F.sum(F.col("p") * (1 - F.col("p"))))
-    full = F.count(ONE) == F.count("p")
-    return entries.groupBy(*by).agg(F.count(ONE).alias("n"), F.when(full, mu).alias("expected"),
+    full = F.count("*") == F.count("p")
+    return entries.groupBy(*by).agg(F.count("*").alias("n"), F.when(full, mu).alias("expected"),
                                     F.when(full, F.greatest(F.lit(0), F.floor(mu + q * sd))).cast("long").alias("at_least"))
 
 
@@ -167,7 +166,7 @@ def overlap(left: DataFrame, right: DataFrame, keys: list[str], *by: str) -> Dat
     j = a.join(b, keys, "full_outer")
     both = F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull())
     return j.groupBy(*by).agg(F.count("_a").alias("n_left"), F.count("_b").alias("n_right"), both.alias("common"),
-                              F.count_if(F.col("_a").isNull()).alias("missed"), S.percent(both, F.count(ONE)).alias("jaccard_pct"))
+                              F.count_if(F.col("_a").isNull()).alias("missed"), S.percent(both, F.count("*")).alias("jaccard_pct"))
 
 
 def diff(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -12,19 +12,18 @@ from . import chains
 from .temporal import asof, faults_after, range_count, within_hours
 from .timeline import Heavy, last_known, running_max, running_sum, saved
 
-ONE = F.lit(1)
 
 
 def next_dud_table(marked: DataFrame, max_k: int = 4) -> DataFrame:
     """Chain length k just before a rental by another person, and how often that person gave up too."""
     rows = marked.where(~F.col("retry") & F.col("streak").between(0, max_k))
     return rows.groupBy(F.col("streak").alias("k")).agg(
-        F.count(ONE).alias("n"), percent(F.count_if("dud"), F.count(ONE)).alias("next_dud_pct"))
+        F.count("*").alias("n"), percent(F.count_if("dud"), F.count("*")).alias("next_dud_pct"))
 
 
 def prevented(marked: DataFrame, rule: Rule = Rule()) -> DataFrame:
     after = ~F.col("retry") & (F.col("streak") >= rule.alarm_k)
-    days = F.greatest(F.count_distinct(F.to_date("t0")), ONE)
+    days = F.greatest(F.count_distinct(F.to_date("t0")), F.lit(1))
     return marked.agg(F.count_if(after).alias("after_alarm_rentals"), F.count_if(after & F.col("dud")).alias("prevented"),
                       (F.count_if(after & F.col("dud")) / days).alias("per_day"))
 
@@ -80,7 +79,7 @@ def hourly(df: DataFrame, *by: str) -> DataFrame:
 def station_busy(trips: DataFrame, end: Column, days: int = 7) -> DataFrame:
     """Rentals per day present and hourly counts per start station, over the days before ``end``."""
     rows = trips.where((F.col("t0") >= end - F.expr(f"interval {days} days")) & (F.col("t0") < end))
-    n = rows.agg(F.greatest(F.count_distinct(F.to_date("t0")), ONE).alias("n")).scalar()
+    n = rows.agg(F.greatest(F.count_distinct(F.to_date("t0")), F.lit(1)).alias("n")).scalar()
     total = sum((F.col(c) for c in HOURS[1:]), F.col(HOURS[0]))
     return hourly(rows, "st0").select(F.col("st0").alias("station"), (total / n).alias("avg"), *HOURS)
 
@@ -103,8 +102,8 @@ def hotspots(marked: DataFrame) -> DataFrame:
 
     The window runs over one row per station, a number bounded by the station table.
     """
-    a = marked.where("alarm").groupBy(F.col("st0").alias("station")).agg(F.count(ONE).alias("alarms"))
-    r = marked.groupBy(F.col("st0").alias("station")).agg(F.count(ONE).alias("rentals"))
+    a = marked.where("alarm").groupBy(F.col("st0").alias("station")).agg(F.count("*").alias("alarms"))
+    r = marked.groupBy(F.col("st0").alias("station")).agg(F.count("*").alias("rentals"))
     w = Window.orderBy(F.desc("alarms"), "station")
     d = a.join(r, "station")
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -127,8 +126,8 @@ def fault_kind_profile(marked: DataFrame, faults: DataFrame, hours: int = 24, mi
     d = d.where(within_hours(F.col("f.t"), F.col("t1"), hours)).select(
         F.col("f.kind").alias("kind"), seconds_between("t0", "t1").alias("sec"), "dist_m")
     d = saved(d)
-    g = d.groupBy("kind").agg(F.count(ONE).alias("n"), percent(F.count_if(F.col("sec") < 30), F.count(ONE)).alias("under_30s_pct"),
-                              percent(F.count_if(F.col("dist_m") >= 50), F.count(ONE)).alias("moved_50m_pct")).where(F.col("n") >= min_n)
+    g = d.groupBy("kind").agg(F.count("*").alias("n"), percent(F.count_if(F.col("sec") < 30), F.count("*")).alias("under_30s_pct"),
+                              percent(F.count_if(F.col("dist_m") >= 50), F.count("*")).alias("moved_50m_pct")).where(F.col("n") >= min_n)
     sec = quantiles(d, F.col("sec"), [0.5], ["sec_median"], ("kind",))
     met = quantiles(d, F.col("dist_m"), [0.5], ["m_median"], ("kind",))
     return g.join(sec, "kind").join(met, "kind")
@@ -149,7 +148,7 @@ def warning_rules(marked: DataFrame, faults: DataFrame, since: Column, heavy: He
     """Precision, lift and recall of one, two or three duds in a row as a warning of a fault within 24 h."""
     d = faults_after(marked.where(F.col("t1") >= since).select("bike", "t1", "dud", "streak"), faults, 10, "f", heavy)
     d = d.withColumn("hit", within_hours(F.col("f.t"), F.timestamp_micros(F.unix_micros("t1") + 600_000_000), 24))
-    base = F.count_if("hit") / F.count(ONE)
+    base = F.count_if("hit") / F.count("*")
     cells = []
     for k in (1, 2, 3):
         on = F.col("dud") & (F.col("streak") >= k - 1)
@@ -163,7 +162,7 @@ def warning_rules(marked: DataFrame, faults: DataFrame, since: Column, heavy: He
 def checked_counts(rescue: DataFrame, survey: DataFrame) -> DataFrame:
     """Human verdicts per bike from both kinds of reports."""
     both = rescue.select("bike", "verdict").unionByName(survey.select("bike", F.col("status").alias("verdict")))
-    return both.groupBy("bike", "verdict").agg(F.count(ONE).alias("n"))
+    return both.groupBy("bike", "verdict").agg(F.count("*").alias("n"))
 
 
 def checked_summary(counts: DataFrame) -> DataFrame:
@@ -177,7 +176,7 @@ def alarm_score(scored: DataFrame) -> DataFrame:
     hit = F.coalesce(F.col("next_dud"), F.lit(False))
     modelled = known & F.col("p_next").isNotNull()
     return scored.agg(
-        F.count(ONE).alias("alarms"), F.count_if(known).alias("scored"), F.count_if(hit).alias("next_rider_dud"),
+        F.count("*").alias("alarms"), F.count_if(known).alias("scored"), F.count_if(hit).alias("next_rider_dud"),
         percent(F.count_if(hit), F.count_if(known)).alias("precision_pct"), F.count_if(~known).alias("waiting"),
         F.min(F.to_date("at")).alias("since"), F.count_if(modelled).alias("model_n"),
         (100 * F.round(F.avg(F.when(known, F.col("p_next"))), 9)).alias("model_pred_pct"),
@@ -188,13 +187,13 @@ def day_score(marked: DataFrame, listed: DataFrame) -> DataFrame:
     """Listed bikes, those ridden by another person that day, and those given up again."""
     first = chains.first_rider_of_day(marked, listed).select("day", "bike", "dud")
     rows = listed.select("day", "bike").distinct().join(first, ["day", "bike"], "left")
-    return rows.groupBy("day").agg(F.count(ONE).alias("listed"), F.count("dud").alias("rode"), F.count_if("dud").alias("first_dud"))
+    return rows.groupBy("day").agg(F.count("*").alias("listed"), F.count("dud").alias("rode"), F.count_if("dud").alias("first_dud"))
 
 
 def dataset_summary(marked: DataFrame, faults: DataFrame) -> DataFrame:
-    f = faults.agg(F.count(ONE).alias("n")).scalar()
-    return marked.agg(F.count(ONE).alias("rentals"), F.count_distinct("bike").alias("bikes"),
-                      percent(F.count_if("dud"), F.count(ONE)).alias("dud_pct"), F.max(f).alias("faults"))
+    f = faults.agg(F.count("*").alias("n")).scalar()
+    return marked.agg(F.count("*").alias("rentals"), F.count_distinct("bike").alias("bikes"),
+                      percent(F.count_if("dud"), F.count("*")).alias("dud_pct"), F.max(f).alias("faults"))
 
 
 def sleeping(marked_rows, trips: DataFrame, heavy_station: Heavy | None = None, min_n: int = 30) -> DataFrame:
@@ -209,7 +208,7 @@ def sleeping(marked_rows, trips: DataFrame, heavy_station: Heavy | None = None,
     hours = F.when(F.col("gap_h") < 24, "6-24").when(F.col("gap_h") < 72, "24-72").otherwise("72+")
     others = F.when(F.col("others") < 10, "0-10").when(F.col("others") < 50, "10-50").otherwise("50+")
     return d.groupBy(hours.alias("hours"), others.alias("others")).agg(
-        F.count(ONE).alias("n"), percent(F.count_if("any_dud"), F.count(ONE)).alias("wake_dud_pct")).where(F.col("n") >= min_n)
+        F.count("*").alias("n"), percent(F.count_if("any_dud"), F.count("*")).alias("wake_dud_pct")).where(F.col("n") >= min_n)
 
 
 def helpers(marked_rows, trips: DataFrame, heavy_station: Heavy | None = None) -> DataFrame:
@@ -231,7 +230,7 @@ def same_person_share(trips: DataFrame, rule: Rule, heavy: Heavy | None = None)
                                        ((F.unix_micros("t0") - F.unix_micros("_p.t1")) / 6e7).alias("gap"))
     rows = saved(rows)
     med = quantiles(rows, F.col("gap"), [0.5], ["m"]).select("m").scalar()
-    return rows.agg(F.count(ONE).alias("n"), percent(F.count_if("same"), F.count(ONE)).alias("same_person_pct"),
+    return rows.agg(F.count("*").alias("n"), percent(F.count_if("same"), F.count("*")).alias("same_person_pct"),
                     F.max(med).alias("gap_median_min"))
 
 

@@ -14,7 +14,6 @@ from . import model as M
 from .lists import top_per_list
 from .timeline import saved
 
-ONE = F.lit(1)
 SAMPLE_COLS = ["bike", "chain", "hist7_duds", "hist7_rentals", "prior_alarms7", "dur_sec", "age_h", "shun", "p"]
 
 
@@ -35,13 +34,13 @@ def conformal(lists: DataFrame, split: Column, level: float = 0.1) -> DataFrame:
     q = quantiles(lists.where(F.col("at") < split), F.col("z"), [level], ["q"]).select("q").scalar()
     ok = F.col("real") >= F.floor(F.col("mu") + q * F.col("sd"))
     test = lists.where(F.col("at") >= split)
-    return test.agg(F.max(q).alias("q"), F.count(ONE).alias("lists"), percent(F.count_if(ok), F.count(ONE)).alias("covered_pct"))
+    return test.agg(F.max(q).alias("q"), F.count("*").alias("lists"), percent(F.count_if(ok), F.count("*")).alias("covered_pct"))
 
 
 def live_check(rows: DataFrame) -> DataFrame:
-    per = rows.groupBy("at").agg(F.sum("p").alias("mu"), F.count_if("y").alias("r"), F.count(ONE).alias("n"), F.sum("p").alias("sp"))
+    per = rows.groupBy("at").agg(F.sum("p").alias("mu"), F.count_if("y").alias("r"), F.count("*").alias("n"), F.sum("p").alias("sp"))
     return per.agg(F.sum("n").alias("n"), (F.sum("sp") / F.sum("n")).alias("p_mean"), (F.sum("r") / F.sum("n")).alias("y_mean"),
-                   F.count(ONE).alias("lists"), F.avg("mu").alias("list_expected"), (F.sum("r") / F.count(ONE)).alias("list_real"))
+                   F.count("*").alias("lists"), F.avg("mu").alias("list_expected"), (F.sum("r") / F.count("*")).alias("list_real"))
 
 
 def later_part(rows: DataFrame, share: float) -> DataFrame:
@@ -52,7 +51,7 @@ def later_part(rows: DataFrame, share: float) -> DataFrame:
 def gate(test: DataFrame, margin: float = 0.98, min_n: int = 500) -> DataFrame:
     """Switch only if the new loss is clearly lower and the total is not further off, on enough labels."""
     y = F.col("y").cast("double")
-    d = test.agg(F.count(ONE).alias("n"), F.avg(log_loss_term(y, F.col("p"))).alias("old_loss"), F.avg(log_loss_term(y, F.col("new_p"))).alias("new_loss"),
+    d = test.agg(F.count("*").alias("n"), F.avg(log_loss_term(y, F.col("p"))).alias("old_loss"), F.avg(log_loss_term(y, F.col("new_p"))).alias("new_loss"),
                  F.abs(F.sum("p") - F.sum(y)).alias("old_gap"), F.abs(F.sum("new_p") - F.sum(y)).alias("new_gap"))
     return d.withColumn("switch", (F.col("n") >= min_n) & (F.col("new_loss") < margin * F.col("old_loss")) & (F.col("new_gap") <= F.col("old_gap")))
 
@@ -95,7 +94,7 @@ def small_tree(rows: DataFrame, features: list[str], split: Column, leaf: int =
 def evaluate(scored: DataFrame, name: str) -> DataFrame:
     d = saved(scored.select("p", "y"))
     a = auc(d, F.col("p"), F.col("y")).select("auc").scalar()
-    return d.agg(F.lit(name).alias("model"), F.count(ONE).alias("n"), F.avg("p").alias("p_mean"), (F.count_if("y") / F.count(ONE)).alias("y_mean"),
+    return d.agg(F.lit(name).alias("model"), F.count("*").alias("n"), F.avg("p").alias("p_mean"), (F.count_if("y") / F.count("*")).alias("y_mean"),
                  F.avg(log_loss_term(F.col("y").cast("double"), F.col("p"))).alias("log_loss"), F.max(a).alias("auc"))
 
 
@@ -140,8 +139,8 @@ def day_bootstrap(rows: DataFrame, replicates: int = 1000, seed: int = 0) -> Dat
     spark = rows.sparkSession
     plan = spark.range(replicates * n).select(F.floor(F.col("id") / n).alias("r"), (F.col("id") % n).alias("j"))
     drawn = plan.withColumn("_d", draws(seed, "r", "j", F.lit(n))).join(numbered, "_d")
-    per = drawn.groupBy("r").agg((F.sum("ya") / F.greatest(ONE, F.sum("na")) - F.sum("yb") / F.greatest(ONE, F.sum("nb"))).alias("d"))
-    return per.agg(F.count(ONE).alias("replicates"), (100 * F.percentile("d", F.lit(0.025))).alias("lo_pct"), (100 * F.percentile("d", F.lit(0.975))).alias("hi_pct"))
+    per = drawn.groupBy("r").agg((F.sum("ya") / F.greatest(F.lit(1), F.sum("na")) - F.sum("yb") / F.greatest(F.lit(1), F.sum("nb"))).alias("d"))
+    return per.agg(F.count("*").alias("replicates"), (100 * F.percentile("d", F.lit(0.025))).alias("lo_pct"), (100 * F.percentile("d", F.lit(0.975))).alias("hi_pct"))
 
 
 def cross_period(rows: DataFrame, features: list[str], parts: list[int], **params) -> DataFrame:
@@ -159,7 +158,7 @@ def transfer(scored: DataFrame, k: int) -> DataFrame:
     model = top_per_list(scored, k, [F.desc("p"), F.col("bike")])
 
     def precision(d: DataFrame):
-        return d.agg(percent(F.count_if("y"), F.count(ONE)).alias("v")).scalar()
+        return d.agg(percent(F.count_if("y"), F.count("*")).alias("v")).scalar()
 
     a = auc(scored, F.col("p"), F.col("y")).select("auc").scalar()
-    return scored.agg(F.count(ONE).alias("n"), F.max(precision(rule)).alias("rule_pct"), F.max(precision(model)).alias("model_pct"), F.max(a).alias("auc"))
+    return scored.agg(F.count("*").alias("n"), F.max(precision(rule)).alias("rule_pct"), F.max(precision(model)).alias("model_pct"), F.max(a).alias("auc"))
