@@ -9,6 +9,7 @@ from . import (  # noqa: F401
     model_queries,
     route_queries,
     scalar_queries,
+    stream_queries,
 )
 from .registry import ORACLES, QUERIES
 
