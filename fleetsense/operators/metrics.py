@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import FINE, is_dud, percent, seconds_between
+from ..functions.scalars import FINE, chain_after, is_dud, percent, seconds_between
 from ..functions.stats import quantiles
 from ..rules import Rule
 from . import chains
 from .temporal import asof, faults_after, range_count, within_hours
-from .timeline import Heavy, last_known, running_max, running_sum, saved
+from .timeline import Heavy, Timeline, last_known, running_max, running_sum, saved
 
 
 
@@ -190,6 +190,19 @@ def day_score(marked: DataFrame, listed: DataFrame) -> DataFrame:
     return rows.groupBy("day").agg(F.count("*").alias("listed"), F.count("dud").alias("rode"), F.count_if("dud").alias("first_dud"))
 
 
+def day_scores(rows: Timeline, rule: Rule = Rule()) -> DataFrame:
+    """Scores of all morning lists in one scan of a marked timeline.
+
+    A listed rental is the last of its day, so the next rental by another person is the first rider of the list day
+    if it falls on that day.
+    """
+    rows = chains.with_next_any(chains.with_next_rider(rows)).with_columns(_d=F.to_date("t0"))
+    last = F.col("any_t0").isNull() | (F.to_date("any_t0") > F.col("_d"))
+    d = rows.done().where(last & (chain_after() >= rule.alarm_k)).withColumn("day", F.date_add("_d", 1))
+    rode = F.to_date("next_t0") == F.col("day")
+    return d.groupBy("day").agg(F.count("*").alias("listed"), F.count_if(rode).alias("rode"), F.count_if(rode & F.col("next_dud")).alias("first_dud"))
+
+
 def dataset_summary(marked: DataFrame, faults: DataFrame) -> DataFrame:
     f = faults.agg(F.count("*").alias("n")).scalar()
     return marked.agg(F.count("*").alias("rentals"), F.count_distinct("bike").alias("bikes"),

@@ -70,15 +70,31 @@ def within_hours(later: Column, earlier: Column, hours: float) -> Column:
 
 
 def lead_times(marked: DataFrame, faults: DataFrame, days: int = 7, heavy: Heavy | None = None) -> DataFrame:
-    """Per fault inside the data's own time span: first alarm in the open week before it, duds in between."""
+    """Per fault inside the data's own time span: first alarm in the open week before it, duds in between.
+
+    One scan per bike over four kinds of events: dud starts (counted), alarms (carrying the count so far), and for
+    each fault a look from a week earlier (next alarm) and one from its own time (count so far).
+    """
+    day = 86_400_000_000
+    trip = F.col("dud").cast("int")
+    kinds = F.array(
+        F.struct(F.col("t0").alias("_t"), F.lit(2).alias("_k"), trip.alias("_w"), F.lit(False).alias("_a")),
+        F.struct(F.col("t1").alias("_t"), F.lit(4).alias("_k"), F.lit(0).alias("_w"), F.lit(True).alias("_a")))
+    ev = marked.where("dud").select("bike", F.explode(F.when(F.col("alarm"), kinds).otherwise(F.slice(kinds, 1, 1))).alias("e"))
+    ev = ev.select("bike", "e.*").withColumns({"_f": F.lit(None).cast("timestamp"), "kind": F.lit(None).cast("string")})
     span = marked.agg(F.min("t0").alias("lo"), F.max("t0").alias("hi"))
     f = faults.where((F.col("t") >= span.select("lo").scalar()) & (F.col("t") <= span.select("hi").scalar()))
-    f = f.withColumn("_lo", F.timestamp_micros(micros("t") - days * 86_400_000_000))
-    alarms = marked.where("alarm").select("bike", F.col("t1").alias("at"))
-    f = asof(f, alarms, "bike", "_lo", "at", F.struct("at"), "_a", "forward", False, heavy)
-    f = f.withColumn("alarm_at", F.when(F.col("_a.at") < F.col("t"), F.col("_a.at"))).drop("_a", "_lo")
-    hit = f.where("alarm_at is not null").withColumn("_id", F.struct("bike", "t"))
-    duds = range_count(marked.where("dud").select("bike", "t0"), hit, "bike", "t0", "bike", "alarm_at", "t", "duds_between",
-                       heavy=heavy)
-    out = f.where("alarm_at is null").withColumn("duds_between", F.lit(None).cast("long")).unionByName(duds)
-    return out.withColumn("lead_h", (micros("t") - micros("alarm_at")) / 3.6e9)
+    # equal times: a look back a week stands after alarms of that instant, a look from the fault before duds and alarms
+    looks = F.array(F.struct(F.timestamp_micros(micros("t") - days * day).alias("_t"), F.lit(5).alias("_k")),
+                    F.struct(F.col("t").alias("_t"), F.lit(1).alias("_k")))
+    pr = f.select("bike", F.explode(looks).alias("e"), F.col("t").alias("_f"), "kind").select(
+        "bike", "e.*", F.lit(0).alias("_w"), F.lit(False).alias("_a"), "_f", "kind")
+    rows = Timeline(ev.unionByName(pr), "bike", ["_t", "_k"], heavy).add(_c=running_sum(F.col("_w")))
+    rows = rows.add(_n=next_known(F.when(F.col("_a"), F.struct(F.col("_t").alias("at"), F.col("_c").alias("c"))))).done()
+    g = rows.where(F.col("_f").isNotNull()).groupBy("bike", F.col("_f").alias("t")).agg(
+        F.max("kind").alias("kind"), F.max(F.when(F.col("_k") == 5, F.col("_n"))).alias("_n"),
+        F.max(F.when(F.col("_k") == 1, F.col("_c"))).alias("_c"))
+    hit = F.col("_n.at") < F.col("t")
+    return g.select("bike", "t", "kind", F.when(hit, F.col("_n.at")).alias("alarm_at"),
+                    F.when(hit, F.col("_c") - F.col("_n.c")).cast("long").alias("duds_between"),
+                    F.when(hit, (micros("t") - micros("_n.at")) / 3.6e9).alias("lead_h"))

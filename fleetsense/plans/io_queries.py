@@ -13,7 +13,6 @@ from ..operators import lists as L, metrics as A
 from ..operators.temporal import asof, lead_times, within_hours
 from ..operators.timeline import saved
 from ..sources import readers as I, sinks as O
-from .chain_queries import listed
 from .list_queries import LIVE, live, morning
 from .metric_queries import DAYSCORE, H24, LEAD
 from .oracle import NOW, sql
@@ -170,7 +169,7 @@ def _(t):
 
 @query("write_scores", sql("marked", DAYSCORE + """select "day", '{"listed":' || listed || ',"rode":' || rode || ',"first_dud":' || first_dud || '}' body from sc"""))
 def _(t):
-    return O.score_json(A.day_score(t.marked, listed(t)))
+    return O.score_json(A.day_scores(t.marked_rows))
 
 
 @query("snapshot_json")

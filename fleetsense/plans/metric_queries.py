@@ -196,6 +196,11 @@ DAYSCORE = LISTED + """, f as (select l.day, l.bike, arg_min(m.dud, (m.t0, m.ord
 
 
 @query("day_score", sql("marked", DAYSCORE + "select * from sc"))
+def _(t):
+    return A.day_scores(t.marked_rows)
+
+
+@query("day_score_of_lists", sql("marked", DAYSCORE + "select * from sc"))
 def _(t):
     return A.day_score(t.marked, listed(t))
 
@@ -403,7 +408,7 @@ def _(t):
     return A.next_dud_table(chains.simple_streak(t.trips, EARLY, t.heavy))
 
 
-@query("station_name_split", sql("marked faults stations", FAULT24.format(h=168) + """, n as (select fw.*, lead(dud) over (partition by bike order by t0, ord) nd from fw)
+@query("pier_split", sql("marked faults stations", FAULT24.format(h=168) + """, n as (select fw.*, lead(dud) over (partition by bike order by t0, ord) nd from fw)
     select coalesce(contains(s.name, '1'), false) pier, count(*) alarms, cast(100 as double) * count(*) filter (where hit) / count(*) fault7_pct,
       cast(100 as double) * count(*) filter (where nd) / count(*) next_dud_pct from n left join stations s on s.id = n.st0 where alarm group by 1"""))
 def _(t):

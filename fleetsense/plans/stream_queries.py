@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import chains
-from ..sources.adapters import Tables
+from ..sources.adapters import EVENTS, Tables
 from ..streaming import live as V, streams as W
 from .list_queries import rescue
 from .oracle import NOW, sql
@@ -18,10 +18,7 @@ class StreamTables(Tables):
 
     @property
     def events(self):
-        raw = self.spark.read.parquet(f"{self.folder}/events.parquet").schema
-        s = self.spark.readStream.schema(raw).option("pathGlobFilter", "events.parquet").parquet(self.folder)
-        return s.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
-                        F.get_json_object("props", "$.k").cast("int").alias("k"))
+        return self._events(self.spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(self.folder))
 
 
 def setup(t):

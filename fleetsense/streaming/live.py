@@ -77,16 +77,20 @@ class LiveTables:
                                  self.rentals_path, "day")
         return changed.select("bike").distinct()
 
-    def record_alarms(self, bikes: DataFrame, seen_at: Column, rule: Rule = Rule(), since: Column | None = None,
-                      heavy: Heavy | None = None) -> None:
-        """Insert alarms of the changed bikes that are not recorded yet; known ones keep their first seen time."""
-        rows = self.rentals() if since is None else self.rentals().where(F.col("t0") >= since)
+    def record_alarms(self, bikes: DataFrame, seen_at: Column, first: DataFrame, rule: Rule = Rule(),
+                      heavy: Heavy | None = None, days: int = KEEP_DAYS) -> None:
+        """Insert alarms of the changed bikes that are not recorded yet; known ones keep their first seen time.
+
+        ``first`` is the earliest time in the batch (one row). Only day folders from ``days`` before it are read.
+        """
+        since = F.date_sub(F.to_date(F.lit(first.first()[0])), days)
+        rows = self.rentals().where(F.col("day") >= since)
         m = chains.mark(rows.join(bikes, "bike", "left_semi").drop("day"), rule, "person", heavy)
         found = m.where("alarm").select("bike", F.col("t1").alias("at"), F.col("st1").alias("station"),
                                         (F.col("streak") + 1).alias("chain"), seen_at.alias("seen_at"))
         known = self.alarms()
         if known is not None:
-            found = found.join(known.select("bike", "at"), ["bike", "at"], "left_anti")
+            found = found.join(known.where(F.col("day") >= since).select("bike", "at"), ["bike", "at"], "left_anti")
         # append per batch: a replay finds its own alarms and adds none
         saved(found).withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").parquet(self.alarms_path)
 
@@ -107,10 +111,12 @@ class LiveTables:
 def tick(tables: LiveTables, seen_at: Column | None = None, rule: Rule = Rule(), heavy: Heavy | None = None):
     """Batch function of the live stream: upsert, then alarms of the touched bikes."""
     def run(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
         batch = saved(batch)
         bikes = tables.step("upsert", lambda: tables.upsert(batch))
         now = F.current_timestamp() if seen_at is None else seen_at
-        tables.step("alarms", lambda: tables.record_alarms(bikes, now, rule, heavy=heavy))
+        tables.step("alarms", lambda: tables.record_alarms(bikes, now, batch.agg(F.min("t0")), rule, heavy))
     return run
 
 
