@@ -5,24 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.timeline import MAX_ROWS, Timeline, running_sum, saved
-
-BINS = 256
-
-
-def ranked(df: DataFrame, by: list[str], order: list[str], **scans) -> DataFrame:
-    """Running scans over the order of the first column, per group.
-
-    The input is evaluated once. Up to a checked size it is scanned by plain windows; beyond it is cut into value
-    bins, so neither one group nor the whole table is sorted in one task.
-    """
-    df = saved(df)
-    size = df.agg(F.count(F.lit(1)).alias("n"), F.min(order[0]).alias("lo"), F.max(order[0]).alias("hi")).first()
-    if size.n <= MAX_ROWS:
-        return Timeline(df, by, order).add(**scans).done()
-    step = (size.hi - size.lo) / BINS
-    cut = F.floor((F.col(order[0]) - F.lit(size.lo)) / F.lit(step)) if step > 0 else F.lit(0)
-    return Timeline(df, by, order, slice_by=cut.cast("long")).add(**scans).done()
+from ..operators.timeline import ordered, running_sum
 
 
 def quantiles(df: DataFrame, value: Column, probs: list[float], names: list[str], by: tuple[str, ...] = ()) -> DataFrame:
@@ -33,7 +16,7 @@ def quantiles(df: DataFrame, value: Column, probs: list[float], names: list[str]
     """
     counts = (df.select(*by, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
               .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    rows = ranked(counts, list(by), ["_v"], _cum=running_sum(F.col("_c")))
+    rows = ordered(counts, list(by), ["_v"]).add(_cum=running_sum(F.col("_c"))).done()
     total = rows.groupBy(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)]).agg(F.sum("_c").alias("_n"))
     same = F.lit(True)
     for i, b in enumerate(by):
@@ -56,7 +39,7 @@ def auc(df: DataFrame, score: Column, label: Column) -> DataFrame:
     """Rank AUC with average ranks for ties, from counts per distinct score."""
     counts = (df.select(score.cast("double").alias("_v"), label.cast("int").alias("_y")).where(F.col("_v").isNotNull())
               .groupBy("_v").agg(F.sum("_y").alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg")))
-    rows = ranked(counts, [], ["_v"], _below=running_sum(F.col("_neg"), here=False))
+    rows = ordered(counts, [], ["_v"]).add(_below=running_sum(F.col("_neg"), here=False)).done()
     wins = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0))
     pairs = F.sum("_pos") * F.sum("_neg")
     return rows.agg(F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"),
@@ -69,7 +52,7 @@ def top_by_count(df: DataFrame, score: Column, tie: list[str], k: Column, by: tu
     Global order is cut into score bins, so the whole table is never ranked in one task.
     """
     d = df.withColumn("_desc", -score.cast("double")).withColumn("_k", k)
-    rows = ranked(d, list(by), ["_desc", *tie], _rank=running_sum(F.lit(1)))
+    rows = ordered(d, list(by), ["_desc", *tie]).add(_rank=running_sum(F.lit(1))).done()
     return rows.withColumn("chosen", F.col("_rank") <= F.col("_k")).drop("_desc", "_k", "_rank")
 
 

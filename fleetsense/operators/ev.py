@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..rules import EvRule
-from .timeline import Heavy, Timeline, last_known, next_known, running_max, running_sum
+from .timeline import Heavy, Timeline, last_known, next_known, ordered, running_max, running_sum
 
 # Fixed values of the data-quality test and the collection schedule.
 ZERO_MAX, SHORT_MAX = 0.01, 0.10
@@ -66,10 +66,9 @@ def run_times(snapshots: DataFrame, runs: DataFrame | None = None) -> DataFrame:
 def segments(times: DataFrame, gap_minutes: int = GAP_MINUTES) -> DataFrame:
     """Each collection time with the number and start of its unbroken segment (new after more than the gap).
 
-    There is one row per collection run, one every few minutes; days are scanned as slices all the same.
+    There is one row per collection run, one every few minutes.
     """
-    day = F.floor(F.unix_micros("at") / 86_400_000_000)
-    rows = Timeline(times, [], ["at"], slice_by=day).add(_p=last_known(F.struct("at")))
+    rows = ordered(times, [], ["at"]).add(_p=last_known(F.struct("at")))
     new = F.col("_p.at").isNotNull() & (F.unix_micros("at") - F.unix_micros("_p.at") > gap_minutes * 60_000_000)
     rows = rows.with_columns(_new=new).add(seg=running_sum(F.when(F.col("_new"), 1).otherwise(0)),
                                            seg_start=running_max(F.when(F.col("_new") | F.col("_p").isNull(), F.col("at"))))
@@ -83,8 +82,7 @@ def spans(segs: DataFrame) -> DataFrame:
 
 def collection_gaps(times: DataFrame) -> DataFrame:
     """Runs, median and largest gap in minutes, hours covered."""
-    day = F.floor(F.unix_micros("at") / 86_400_000_000)
-    rows = Timeline(times, [], ["at"], slice_by=day).add(_p=last_known(F.struct("at"))).done()
+    rows = ordered(times, [], ["at"]).add(_p=last_known(F.struct("at"))).done()
     gap = (F.unix_micros("at") - F.unix_micros("_p.at")) / 6e7
     # gaps are counted by value before the median, so its input is the few distinct gaps
     per = rows.groupBy(gap.alias("g")).agg(F.count("*").alias("c"), F.min("at").alias("lo"), F.max("at").alias("hi"))

@@ -39,7 +39,8 @@ def match(trips: DataFrame, marked: DataFrame, step: int, rule: Rule = Rule(), h
         return F.floor(F.unix_micros(c) / (step * 1_000_000))
 
     fl = saved(flickers(trips, step, rule, heavy))
-    duds = marked.where("dud").select(F.col("st0").alias("st"), bucket("t0").alias("b0"), bucket("t1").alias("b1"))
+    marked = saved(marked.where("dud").select("st0", "st1", "t0", "t1", "alarm"))
+    duds = marked.select(F.col("st0").alias("st"), bucket("t0").alias("b0"), bucket("t1").alias("b1"))
     hit = duds.distinct().join(fl.distinct(), ["st", "b0", "b1"]).agg(F.count(F.lit(1)).alias("n")).scalar()
     order = fl.withColumn("_at", F.timestamp_micros(F.col("b1") * step * 1_000_000))
     rows = Timeline(order, "st", ["_at"], heavy).add(_p=last_known(F.col("b1"))).done()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import chain_after
 from ..rules import Rule
 from . import chains, lists
-from .timeline import Heavy
+from .timeline import Heavy, saved
 
 
 def rehearse(trips: DataFrame, windows: tuple[int, ...], rule: Rule = Rule(), heavy: Heavy | None = None) -> DataFrame:
@@ -41,6 +41,6 @@ def _lists_of_window(trips: DataFrame, w: int, rule: Rule, heavy: Heavy | None)
 
 
 def _rekey(heavy: Heavy, seen: DataFrame) -> Heavy:
-    keys = seen.select(F.col("_key"), "_bike").distinct().join(heavy.small().withColumnRenamed("_key", "_b"), F.col("_bike") == F.col("_b"))
-    frame = keys.select("_key", "_lo", "_width")
-    return Heavy(frame, heavy.rows * 1000)
+    keys = seen.select("_key", "_bike").distinct().join(heavy.small(), F.col("_bike") == F.col("_hkey"))
+    frame = saved(keys.select(F.col("_key").alias("_hkey"), "_hlo", "_hwidth"))
+    return Heavy(frame, frame.count())

@@ -53,23 +53,40 @@ class Heavy:
 
 def find_heavy(df: DataFrame, key: str, time: str, max_rows: int = MAX_ROWS) -> Heavy | None:
     """One counting pass (partial aggregation, two columns). At most rows/max_rows keys can come back."""
-    counts = df.groupBy(F.col(key).alias("_key")).agg(
+    counts = df.groupBy(F.col(key).alias("_hkey")).agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.unix_micros(time)).alias("lo"),
         F.max(F.unix_micros(time)).alias("hi"),
     )
     found = counts.where(F.col("n") > max_rows).select(
-        "_key",
-        F.col("lo").alias("_lo"),
-        F.greatest(F.lit(1), ((F.col("hi") - F.col("lo")) * max_rows / (F.col("n") * BURST)).cast("long")).alias("_width"),
+        "_hkey",
+        F.col("lo").alias("_hlo"),
+        F.greatest(F.lit(1), ((F.col("hi") - F.col("lo")) * max_rows / (F.col("n") * BURST)).cast("long")).alias("_hwidth"),
     ).collect()
     if not found:
         return None
-    schema = df.select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("_lo"),
-                       F.lit(0).cast("long").alias("_width")).schema
+    schema = df.select(F.col(key).alias("_hkey"), F.lit(0).cast("long").alias("_hlo"),
+                       F.lit(0).cast("long").alias("_hwidth")).schema
     return Heavy(df.sparkSession.createDataFrame(found, schema), len(found))
 
 
+def ordered(df: DataFrame, key, order, bin_by: str | None = None, bins: int = 256) -> "Timeline":
+    """Timeline over an already aggregated table, evaluated once, whose groups may still be large.
+
+    Up to a checked size it uses plain windows; beyond it is cut into bins of the first order column (a number, or a
+    time), so neither one group nor the whole table is scanned in one task.
+    """
+    df = saved(df)
+    first = order[0] if bin_by is None else bin_by
+    at = F.unix_micros(first) if dict(df.dtypes)[first] == "timestamp" else F.col(first)
+    size = df.agg(F.count("*").alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi")).first()
+    if size.n <= MAX_ROWS:
+        return Timeline(df, key, order)
+    step = (size.hi - size.lo) / bins
+    cut = F.floor((at - F.lit(size.lo)) / F.lit(step)) if step > 0 else F.lit(0)
+    return Timeline(df, key, order, slice_by=cut.cast("long"))
+
+
 @dataclass(frozen=True)
 class Scan:
     kind: str           # sum | max | last | first
@@ -107,10 +124,10 @@ class Timeline:
             df = df.drop(SLICE)
         if heavy is not None:
             at = F.unix_micros(F.col(time or self.order[0]))
-            df = (df.join(heavy.small(), F.col(self.key[0]) == F.col("_key"), "left")
-                  .withColumn(SLICE, F.when(F.col("_key").isNotNull(),
-                                            F.floor((at - F.col("_lo")) / F.col("_width"))))
-                  .drop("_key", "_lo", "_width"))
+            df = (df.join(heavy.small(), F.col(self.key[0]) == F.col("_hkey"), "left")
+                  .withColumn(SLICE, F.when(F.col("_hkey").isNotNull(),
+                                            F.floor((at - F.col("_hlo")) / F.col("_hwidth"))))
+                  .drop("_hkey", "_hlo", "_hwidth"))
         elif slice_by is not None:
             df = df.withColumn(SLICE, slice_by)
         self.df = df

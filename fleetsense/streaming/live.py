@@ -21,6 +21,7 @@ from ..rules import KEEP_DAYS, Rule
 from ..sources import sinks
 
 TRIP_COLS = ["bike", "t0", "ord", "st0", "t1", "st1", "dist_m", "who"]
+ALARMS = "bike string, at timestamp, station string, chain long, seen_at timestamp, day date"
 ALARM_COLS = ["bike", "at", "station", "chain", "seen_at"]
 
 
@@ -58,8 +59,9 @@ class LiveTables:
     def rentals(self) -> DataFrame:
         return self.spark.read.parquet(self.rentals_path)
 
-    def alarms(self) -> DataFrame | None:
-        return read_or_none(self.spark, self.alarms_path)
+    def alarms(self) -> DataFrame:
+        found = read_or_none(self.spark, self.alarms_path)
+        return self.spark.createDataFrame([], ALARMS) if found is None else found
 
     def upsert(self, batch: DataFrame) -> DataFrame:
         """Store the batch; returns the bikes that changed. Only days that hold a changed row are rewritten."""
@@ -88,9 +90,8 @@ class LiveTables:
         m = chains.mark(rows.join(bikes, "bike", "left_semi").drop("day"), rule, "person", heavy)
         found = m.where("alarm").select("bike", F.col("t1").alias("at"), F.col("st1").alias("station"),
                                         (F.col("streak") + 1).alias("chain"), seen_at.alias("seen_at"))
-        known = self.alarms()
-        if known is not None:
-            found = found.join(known.where(F.col("day") >= since).select("bike", "at"), ["bike", "at"], "left_anti")
+        known = self.alarms().where(F.col("day") >= since).select("bike", "at")
+        found = found.join(known, ["bike", "at"], "left_anti")
         # append per batch: a replay finds its own alarms and adds none
         saved(found).withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").parquet(self.alarms_path)
 
