@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import chain_after, is_dud, micros, seconds_between
 from ..rules import Rule
-from .timeline import Heavy, Timeline, last_known, next_known, running_max, running_sum
+from .timeline import Heavy, Timeline, following, last_known, next_known, previous, running_max, running_sum
 
 ORDER = ["t0", "ord"]
 
@@ -34,7 +34,7 @@ def mark_timeline(trips: DataFrame, rule: Rule = Rule(), identity: str = "auto",
     if identity == "auto":
         identity = identity_mode(trips, rule)
     rows = timeline(trips.withColumn("dud", is_dud(rule)), heavy).add(
-        _prev=last_known(F.struct("who", "dud", "t1")))
+        _prev=previous(F.struct("who", "dud", "t1")))
     prev_dud = F.coalesce(F.col("_prev.dud"), F.lit(False))
     retry = {
         "person": F.coalesce(F.col("who") == F.col("_prev.who"), F.lit(False)),
@@ -73,7 +73,7 @@ def mark_window(trips: DataFrame, since, until, bikes: DataFrame | None = None,
 
 def candidates(trips: DataFrame, now, hours: int = 24, rule: Rule = Rule(), heavy: Heavy | None = None) -> DataFrame:
     """Bikes with a dud returned lately whose previous rental is a dud too. Every list entry is among them."""
-    rows = timeline(trips.withColumn("dud", is_dud(rule)), heavy).add(_prev=last_known(F.col("dud"))).done()
+    rows = timeline(trips.withColumn("dud", is_dud(rule)), heavy).add(_prev=previous(F.col("dud"))).done()
     recent = F.col("t1") >= now - F.expr(f"interval {hours} hours")
     return rows.where(recent & F.col("dud") & F.col("_prev")).select("bike").distinct()
 
@@ -96,7 +96,7 @@ def with_next_rider(rows: Timeline) -> Timeline:
 
 
 def with_next_any(rows: Timeline) -> Timeline:
-    return rows.add(_na=next_known(F.struct("dud", "t0", "st0", "who"))).with_columns(
+    return rows.add(_na=following(F.struct("dud", "t0", "st0", "who"))).with_columns(
         any_dud=F.col("_na.dud"), any_t0=F.col("_na.t0"), any_st0=F.col("_na.st0"))
 
 
@@ -129,7 +129,7 @@ def next_rider_after_return(marked: DataFrame, which, heavy: Heavy | None = None
 
 def run_features(rows: Timeline) -> Timeline:
     """Length, retries, span and idle time of the current run of duds; null outside a run."""
-    rows = rows.add(_p=last_known(F.struct("dud", "t1")), _n=running_sum(F.lit(1)),
+    rows = rows.add(_p=previous(F.struct("dud", "t1")), _n=running_sum(F.lit(1)),
                     _rt=running_sum(F.when(F.col("retry") & F.col("dud"), 1).otherwise(0)))
     idle = (micros("t0") - micros("_p.t1")) / 6e7
     start = F.col("dud") & ~F.coalesce(F.col("_p.dud"), F.lit(False))
@@ -185,7 +185,7 @@ def before_normal(marked: DataFrame, *by: str, skip_retry: bool = True) -> DataF
 
 def run_last_return(marked: DataFrame, heavy: Heavy | None = None) -> DataFrame:
     """Marked rows with ``run_end``: return time of the last dud of the run the row belongs to."""
-    rows = timeline(marked, heavy).add(_n=next_known(F.struct("dud")))
+    rows = timeline(marked, heavy).add(_n=following(F.struct("dud")))
     rows = rows.with_columns(_last=F.when(F.col("dud") & ~F.coalesce(F.col("_n.dud"), F.lit(False)), F.col("t1")))
     rows = rows.add(_end=next_known(F.col("_last"), here=True)).with_columns(run_end=F.when(F.col("dud"), F.col("_end")))
     return rows._copy(rows.df.drop("_n", "_last", "_end")).done()

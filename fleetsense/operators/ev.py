@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..rules import EvRule
-from .timeline import Heavy, Timeline, last_known, next_known, ordered, running_max, running_sum
+from .timeline import Heavy, Timeline, next_known, ordered, previous, running_max, running_sum
 
 # Fixed values of the data-quality test and the collection schedule.
 ZERO_MAX, SHORT_MAX = 0.01, 0.10
@@ -27,7 +27,7 @@ def sessions(snapshots: DataFrame) -> DataFrame:
 
 def mark_ev(sess: DataFrame, rule: EvRule = EvRule(), key: str = "charger", heavy: Heavy | None = None) -> Timeline:
     rows = Timeline(sess.withColumn("dud", F.col("minutes") <= rule.max_min), key, ["start", "end"], heavy)
-    rows = rows.add(_p=last_known(F.struct("dud", "end")))
+    rows = rows.add(_p=previous(F.struct("dud", "end")))
     prev = F.coalesce(F.col("_p.dud"), F.lit(False))
     gap = (F.unix_micros("start") - F.unix_micros("_p.end")) / 6e7
     rows = rows.with_columns(retry=prev & F.coalesce(gap < rule.gap_min, F.lit(False)), _new=~prev)
@@ -52,7 +52,7 @@ def zombies(sess: DataFrame, now: Column, rule: EvRule = EvRule(), literal: bool
 
 def changes_only(snapshots: DataFrame, signature: Column, heavy: Heavy | None = None) -> DataFrame:
     """Snapshots whose signature differs from the charger's previous one."""
-    rows = Timeline(snapshots.withColumn("sig", signature), "charger", ["at", "ord"], heavy).add(_p=last_known(F.struct("sig")))
+    rows = Timeline(snapshots.withColumn("sig", signature), "charger", ["at", "ord"], heavy).add(_p=previous(F.struct("sig")))
     return rows.done().where(F.col("_p").isNull() | ~F.col("_p.sig").eqNullSafe(F.col("sig"))).drop("_p")
 
 
@@ -68,7 +68,7 @@ def segments(times: DataFrame, gap_minutes: int = GAP_MINUTES) -> DataFrame:
 
     There is one row per collection run, one every few minutes.
     """
-    rows = ordered(times, [], ["at"]).add(_p=last_known(F.struct("at")))
+    rows = ordered(times, [], ["at"]).add(_p=previous(F.struct("at")))
     new = F.col("_p.at").isNotNull() & (F.unix_micros("at") - F.unix_micros("_p.at") > gap_minutes * 60_000_000)
     rows = rows.with_columns(_new=new).add(seg=running_sum(F.when(F.col("_new"), 1).otherwise(0)),
                                            seg_start=running_max(F.when(F.col("_new") | F.col("_p").isNull(), F.col("at"))))
@@ -82,7 +82,7 @@ def spans(segs: DataFrame) -> DataFrame:
 
 def collection_gaps(times: DataFrame) -> DataFrame:
     """Runs, median and largest gap in minutes, hours covered."""
-    rows = ordered(times, [], ["at"]).add(_p=last_known(F.struct("at"))).done()
+    rows = ordered(times, [], ["at"]).add(_p=previous(F.struct("at"))).done()
     gap = (F.unix_micros("at") - F.unix_micros("_p.at")) / 6e7
     # gaps are counted by value before the median, so its input is the few distinct gaps
     per = rows.groupBy(gap.alias("g")).agg(F.count("*").alias("c"), F.min("at").alias("lo"), F.max("at").alias("hi"))

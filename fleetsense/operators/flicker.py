@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import percent
 from ..rules import Rule
-from .timeline import Heavy, Timeline, last_known, next_known, saved
+from .timeline import Heavy, Timeline, following, previous, saved
 
 WINDOW_HOURS = 3
 
@@ -27,7 +27,7 @@ def flickers(trips: DataFrame, step: int, rule: Rule = Rule(), heavy: Heavy | No
         F.struct(F.col("st1").alias("st"), bucket("t1").alias("b"), F.lit(1).alias("d")))).alias("e")).select("e.*")
     net = ends.groupBy("st", "b").agg(F.sum("d").alias("d")).where("d != 0")
     net = net.withColumn("_at", F.timestamp_micros(F.col("b") * step * 1_000_000))
-    rows = Timeline(net, "st", ["_at"], heavy).add(_n=next_known(F.struct("b", "d"))).done()
+    rows = Timeline(net, "st", ["_at"], heavy).add(_n=following(F.struct("b", "d"))).done()
     limit = math.ceil(rule.max_sec / step) + 1
     gap = F.col("_n.b") - F.col("b")
     return rows.where((F.col("d") == -1) & (F.col("_n.d") == 1) & gap.between(1, limit)).select("st", F.col("b").alias("b0"), F.col("_n.b").alias("b1"))
@@ -43,7 +43,7 @@ def match(trips: DataFrame, marked: DataFrame, step: int, rule: Rule = Rule(), h
     duds = marked.select(F.col("st0").alias("st"), bucket("t0").alias("b0"), bucket("t1").alias("b1"))
     hit = duds.distinct().join(fl.distinct(), ["st", "b0", "b1"]).agg(F.count(F.lit(1)).alias("n")).scalar()
     order = fl.withColumn("_at", F.timestamp_micros(F.col("b1") * step * 1_000_000))
-    rows = Timeline(order, "st", ["_at"], heavy).add(_p=last_known(F.col("b1"))).done()
+    rows = Timeline(order, "st", ["_at"], heavy).add(_p=previous(F.col("b1"))).done()
     station = rows.where((F.col("b1") - F.col("_p")) * step <= WINDOW_HOURS * 3600).select("st", F.col("b1").alias("b"))
     true = marked.where("alarm").select(F.col("st1").alias("st"), bucket("t1").alias("b"))
 

@@ -10,7 +10,7 @@ from ..functions.stats import quantiles
 from ..rules import Rule
 from . import chains
 from .temporal import asof, faults_after, range_count, within_hours
-from .timeline import Heavy, Timeline, last_known, running_max, running_sum, saved
+from .timeline import Heavy, Timeline, previous, running_max, running_sum, saved
 
 
 
@@ -35,7 +35,7 @@ def rule_grid(trips: DataFrame, seconds=(60, 120, 180), metres=(100, 200, 300),
     duds = {f"_d{i}": is_dud(Rule(max_sec=s, max_m=m)) for i, (s, m) in enumerate(variants)}
     names = list(duds)
     rows = chains.timeline(trips.select("bike", "ord", "t0", "t1", "st0", "st1", "dist_m", "who").withColumns(duds), heavy)
-    rows = rows.add(_p=last_known(F.struct("who", *names)))
+    rows = rows.add(_p=previous(F.struct("who", *names)))
     rows = rows.with_columns(_retry=F.coalesce(F.col("who") == F.col("_p.who"), F.lit(False)))
     rows = rows.add(_people=running_sum(F.when(F.col("_retry"), 0).otherwise(1)))
     start = {f"_s{i}": running_max(F.when(~F.coalesce(F.col(f"_p._d{i}"), F.lit(False)), F.col("_people")))
@@ -238,7 +238,7 @@ def helpers(marked_rows, trips: DataFrame, heavy_station: Heavy | None = None) -
 
 def same_person_share(trips: DataFrame, rule: Rule, heavy: Heavy | None = None) -> DataFrame:
     """After a dud: share of next rentals by the same person, and the median gap in minutes."""
-    rows = chains.timeline(trips.withColumn("dud", is_dud(rule)), heavy).add(_p=last_known(F.struct("dud", "who", "t1"))).done()
+    rows = chains.timeline(trips.withColumn("dud", is_dud(rule)), heavy).add(_p=previous(F.struct("dud", "who", "t1"))).done()
     rows = rows.where("_p.dud").select((F.coalesce(F.col("who") == F.col("_p.who"), F.lit(False))).alias("same"),
                                        ((F.unix_micros("t0") - F.unix_micros("_p.t1")) / 6e7).alias("gap"))
     rows = saved(rows)

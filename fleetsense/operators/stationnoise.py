@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import micros
 from .temporal import asof, range_count
-from .timeline import Heavy, Timeline, last_known, next_known, running_sum, saved
+from .timeline import Heavy, Timeline, following, previous, running_sum, saved
 
 HOUR_US = 3_600_000_000
 
@@ -19,7 +19,7 @@ def distinct_before(duds: DataFrame, heavy: Heavy | None = None, heavy_bike: Hea
     dud there, or until the hour is over, whichever comes first; the count is a running sum of births and deaths.
     """
     d = duds.select("bike", "ord", "st1", "t1")
-    own = Timeline(d, ["bike", "st1"], ["t1", "ord"], heavy_bike, time="t1").add(_n=next_known(F.struct("t1", "bike", "ord"))).done()
+    own = Timeline(d, ["bike", "st1"], ["t1", "ord"], heavy_bike, time="t1").add(_n=following(F.struct("t1", "bike", "ord"))).done()
     born = F.struct(F.col("t1").alias("t"), F.lit(0).alias("k"), F.col("bike").alias("b"), F.col("ord").alias("o"), F.lit(1).alias("w"), F.lit(True).alias("row"))
     # a death by age counts after every row of its instant; a death by renewal happens just before the newer row
     over = F.timestamp_micros(micros("t1") + HOUR_US)
@@ -42,7 +42,7 @@ def cooled(fires: DataFrame, minutes: int = 60, heavy: Heavy | None = None) -> D
     doubled each round, so a station that never falls quiet takes logarithmic rounds, not one long task.
     """
     pause = minutes * 60_000_000
-    rows = Timeline(fires, "st1", ["t1"], heavy).add(_p=last_known(F.struct("t1"))).done()
+    rows = Timeline(fires, "st1", ["t1"], heavy).add(_p=previous(F.struct("t1"))).done()
     rows = rows.withColumn("_start", F.col("_p").isNull() | (micros("t1") - micros("_p.t1") > pause))
     rows = rows.select("st1", "t1", "_start", F.timestamp_micros(micros("t1") + pause).alias("_free"))
     rows = asof(rows, fires, "st1", "_free", "t1", F.struct("t1"), "_n", "forward", False, heavy)

@@ -89,7 +89,7 @@ def ordered(df: DataFrame, key, order, bin_by: str | None = None, bins: int = 25
 
 @dataclass(frozen=True)
 class Scan:
-    kind: str           # sum | max | last | first
+    kind: str           # sum | max | last | first | lag | lead
     expr: Column
     here: bool          # include the current row
 
@@ -112,6 +112,19 @@ def next_known(expr: Column, here: bool = False) -> Scan:
     return Scan("first", expr, here)
 
 
+def previous(expr: Column) -> Scan:
+    """Value of the row just before; use a struct so that it is never null itself."""
+    return Scan("lag", expr, False)
+
+
+def following(expr: Column) -> Scan:
+    """Value of the row just after; use a struct so that it is never null itself."""
+    return Scan("lead", expr, False)
+
+
+BACKWARD = ("first", "lead")
+
+
 class Timeline:
     """Rows of each key in order. ``add`` appends scan columns and returns a new timeline."""
 
@@ -146,19 +159,21 @@ class Timeline:
     def done(self) -> DataFrame:
         return self.df.drop(SLICE) if self.sliced else self.df
 
-    def _window(self, forward: bool, here: bool):
-        parts = self.key + ([SLICE] if self.sliced else [])
-        w = Window.partitionBy(*parts).orderBy(*self.order)
-        if forward:
-            return w.rowsBetween(Window.unboundedPreceding, 0 if here else -1)
-        return w.rowsBetween(0 if here else 1, Window.unboundedFollowing)
+    def _window(self, s: Scan):
+        w = Window.partitionBy(*self.key, *([SLICE] if self.sliced else []))
+        if s.kind in ("lag", "lead"):
+            return w.orderBy(*self.order)
+        if s.kind == "first":
+            # read backwards: a frame that shrinks from the front would be recomputed for every row
+            w = w.orderBy(*[F.desc(c) for c in self.order])
+        else:
+            w = w.orderBy(*self.order)
+        return w.rowsBetween(Window.unboundedPreceding, 0 if s.here else -1)
 
     def add(self, **scans: Scan) -> "Timeline":
         if not self.sliced:
-            return self._copy(self.df.withColumns({n: _over(s, self._window(s.kind != "first", s.here))
-                                                   for n, s in scans.items()}))
-        local = self.df.withColumns({f"_l_{n}": _over(s, self._window(s.kind != "first", s.here))
-                                     for n, s in scans.items()})
+            return self._copy(self.df.withColumns({n: _over(s, self._window(s)) for n, s in scans.items()}))
+        local = self.df.withColumns({f"_l_{n}": _over(s, self._window(s)) for n, s in scans.items()})
         out = local.join(self._carry(scans), _same(local, self.key + [SLICE]), "left")
         out = out.withColumns({n: _merge(s.kind, F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n, s in scans.items()})
         drop = [f"_{p}_{n}" for n in scans for p in "lc"] + [f"_k{i}" for i in range(len(self.key) + 1)]
@@ -174,17 +189,18 @@ class Timeline:
             elif s.kind == "max":
                 total = F.max(s.expr)
             else:
-                pick = F.max_by if s.kind == "last" else F.min_by
+                pick = F.min_by if s.kind in BACKWARD else F.max_by
                 total = pick(s.expr, F.when(s.expr.isNotNull(), order))
             totals.append(total.alias(f"_t_{n}"))
         keys = self.key + [SLICE]
         per_slice = saved(self.df.where(F.col(SLICE).isNotNull()).groupBy(*keys).agg(*totals))
-        w = Window.partitionBy(*(self.key or [F.lit(0)])).orderBy(SLICE)
-        before = w.rowsBetween(Window.unboundedPreceding, -1)
-        after = w.rowsBetween(1, Window.unboundedFollowing)
+        w = Window.partitionBy(*(self.key or [F.lit(0)]))
+        before = w.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        after = w.orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+        pick = {"sum": "sum", "max": "max"}
         carry = per_slice.select(
             *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-            *[_over(Scan(s.kind, F.col(f"_t_{n}"), False), after if s.kind == "first" else before).alias(f"_c_{n}")
+            *[_over(Scan(pick.get(s.kind, "last"), F.col(f"_t_{n}"), False), after if s.kind in BACKWARD else before).alias(f"_c_{n}")
               for n, s in scans.items()])
         return F.broadcast(carry) if per_slice.count() <= BROADCAST_ROWS else carry
 
@@ -201,7 +217,9 @@ def _over(s: Scan, w) -> Column:
         return F.coalesce(F.sum(s.expr).over(w), F.lit(0))
     if s.kind == "max":
         return F.max(s.expr).over(w)
-    return (F.last if s.kind == "last" else F.first)(s.expr, ignorenulls=True).over(w)
+    if s.kind in ("lag", "lead"):
+        return (F.lag if s.kind == "lag" else F.lead)(s.expr).over(w)
+    return F.last(s.expr, ignorenulls=True).over(w)
 
 
 def _merge(kind: str, local: Column, carry: Column) -> Column:

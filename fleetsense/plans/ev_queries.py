@@ -249,7 +249,7 @@ def _(t):
     for name, rule, mode in variants:
         # the judge is the true person key; it is one lag on the same ordered rows, so no join is needed
         rows = chains.mark_timeline(t.trips, rule, mode, t.heavy)
-        m = rows.add(_w=chains.last_known(F.struct("who"))).done()
+        m = rows.add(_w=chains.previous(F.struct("who"))).done()
         truth = F.coalesce(F.col("who") == F.col("_w.who"), F.lit(False))
         after, days = ~truth & (F.col("streak") >= 2), F.count_distinct(F.to_date("t0"))
         out.append(m.agg(F.lit(name).alias("variant"), S.percent(F.count_if(after & F.col("dud")), F.count_if(after)).alias("precision_pct"),

@@ -174,8 +174,8 @@ def _(t):
 
 @query("lateral_prev", sql("trips", "select bike, ord, lag(t0) over w prev_t0, lag(st1) over w prev_st1 from trips window w as (partition by bike order by t0, ord)"))
 def _(t):
-    from ..operators.timeline import last_known
-    d = chains.timeline(t.trips, t.heavy).add(p=last_known(F.struct("t0", "st1"))).done()
+    from ..operators.timeline import previous
+    d = chains.timeline(t.trips, t.heavy).add(p=previous(F.struct("t0", "st1"))).done()
     return d.select("bike", "ord", F.col("p.t0").alias("prev_t0"), F.col("p.st1").alias("prev_st1"))
 
 

@@ -218,7 +218,7 @@ def _(t):
 
 @query("conformal_q", sql("smpp", LISTS + """, q as (select quantile_cont(z, 0.1) q from lz where "at" < timestamp '2024-01-20')
     select round(q, 6) q, (select count(*) from lz where "at" >= timestamp '2024-01-20') lists,
-      (select cast(100 as double) * count(*) filter (where real_ >= floor(mu + q * sd)) / count(*) from lz where "at" >= timestamp '2024-01-20') covered_pct from q"""))
+      (select cast(100 as double) * count(*) filter (where real_ >= floor(mu + q * sd)) / nullif(count(*), 0) from lz where "at" >= timestamp '2024-01-20') covered_pct from q"""))
 def _(t):
     d = T.conformal(M.list_stats(scored(t)), F.lit("2024-01-20").cast("timestamp"))
     return d.withColumn("q", F.round("q", 6))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ev import GAP_MINUTES
-from ..operators.timeline import Timeline, last_known, saved
+from ..operators.timeline import Timeline, previous, saved
 from ..rules import Rule
 from ..sources.sinks import replace_partitions
 from .live import read_or_none, run_available
@@ -55,7 +55,7 @@ def changes(stream: DataFrame, signature: Column, root: str) -> str:
         rows = rows.select(*cols).withColumn("_old", before)
         if state is not None:
             rows = rows.unionByName(state.select(*cols).withColumn("_old", F.lit(True)))
-        m = saved(Timeline(rows, "charger", ["at", "ord"]).add(_p=last_known(F.struct("sig"))).done())
+        m = saved(Timeline(rows, "charger", ["at", "ord"]).add(_p=previous(F.struct("sig"))).done())
         new = m.where(~F.col("_old") & (F.col("_p").isNull() | ~F.col("_p.sig").eqNullSafe(F.col("sig"))))
         # folders are named by batch, so a replay overwrites its own output only
         new.select(*cols).write.mode("overwrite").parquet(f"{out}/v={batch_id}")
