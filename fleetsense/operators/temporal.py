@@ -69,9 +69,12 @@ def within_hours(later: Column, earlier: Column, hours: float) -> Column:
     return F.coalesce(micros(later) - micros(earlier) <= int(hours * 3_600_000_000), F.lit(False))
 
 
-def lead_times(marked: DataFrame, faults: DataFrame, days: int = 7, heavy: Heavy | None = None) -> DataFrame:
+def lead_times(marked: DataFrame, faults: DataFrame, days: int = 7, heavy: Heavy | None = None,
+               span: DataFrame | None = None) -> DataFrame:
     """Per fault inside the data's own time span: first alarm in the open week before it, duds in between.
 
+    ``marked`` may hold the duds only if ``span`` gives all rentals for the time span.
+
     One scan per bike over four kinds of events: dud starts (counted), alarms (carrying the count so far), and for
     each fault a look from a week earlier (next alarm) and one from its own time (count so far).
     """
@@ -82,7 +85,7 @@ def lead_times(marked: DataFrame, faults: DataFrame, days: int = 7, heavy: Heavy
         F.struct(F.col("t1").alias("_t"), F.lit(4).alias("_k"), F.lit(0).alias("_w"), F.lit(True).alias("_a")))
     ev = marked.where("dud").select("bike", F.explode(F.when(F.col("alarm"), kinds).otherwise(F.slice(kinds, 1, 1))).alias("e"))
     ev = ev.select("bike", "e.*").withColumns({"_f": F.lit(None).cast("timestamp"), "kind": F.lit(None).cast("string")})
-    span = marked.agg(F.min("t0").alias("lo"), F.max("t0").alias("hi"))
+    span = (marked if span is None else span).agg(F.min("t0").alias("lo"), F.max("t0").alias("hi"))
     f = faults.where((F.col("t") >= span.select("lo").scalar()) & (F.col("t") <= span.select("hi").scalar()))
     # equal times: a look back a week stands after alarms of that instant, a look from the fault before duds and alarms
     looks = F.array(F.struct(F.timestamp_micros(micros("t") - days * day).alias("_t"), F.lit(5).alias("_k")),

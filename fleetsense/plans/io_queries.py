@@ -231,10 +231,12 @@ def _(t):
 def report_row(t, name: str) -> DataFrame:
     """One headline row per data set; reports of several are a union of these."""
     m = t.marked
-    lead = saved(lead_times(m, t.faults, heavy=t.heavy))
+    # lead times and unreported chains need only the duds: marked once, a few per cent of the rows
+    duds = saved(m.where("dud").select("bike", "t0", "t1", "dud", "retry", "streak", "alarm"))
+    lead = saved(lead_times(duds, t.faults, heavy=t.heavy, span=t.trips))
     med = quantiles(lead, F.col("lead_h"), [0.5], ["m"]).select(F.round("m", 9)).scalar()
     share = lead.agg(S.percent(F.count("alarm_at"), F.count(F.lit(1))).alias("v")).scalar()
-    c = asof(m.where(F.col("dud") & ~F.col("retry") & (F.col("streak") >= 1)).select("bike", "t1"), t.faults, "bike", "t1", "t", F.struct("t"), "f", "forward", False, t.heavy)
+    c = asof(duds.where(~F.col("retry") & (F.col("streak") >= 1)).select("bike", "t1"), t.faults, "bike", "t1", "t", F.struct("t"), "f", "forward", False, t.heavy)
     miss = c.agg(S.percent(F.count_if(~within_hours(F.col("f.t"), F.col("t1"), 168)), F.count(F.lit(1))).alias("v")).scalar()
     other, dud, n = ~F.col("retry"), F.col("dud"), F.count(F.lit(1))
 

@@ -253,14 +253,14 @@ LEAD = """, sp as (select min(t0) lo, max(t0) hi from marked),
 
 @query("lead_time", sql("marked faults", LEAD + "select bike, t, alarm_at, lead_h, duds_between from lead"))
 def _(t):
-    return lead_times(t.marked, t.faults, heavy=t.heavy).select("bike", "t", "alarm_at", "lead_h", "duds_between")
+    return lead_times(t.marked, t.faults, heavy=t.heavy, span=t.trips).select("bike", "t", "alarm_at", "lead_h", "duds_between")
 
 
 @query("lead_time_summary", sql("marked faults", LEAD + """select count(*) faults, count(alarm_at) with_prior_alarm,
     cast(100 as double) * count(alarm_at) / count(*) share_pct, round(quantile_cont(lead_h, 0.5), 9) lead_h_median,
     cast(sum(duds_between) as double) / count(alarm_at) victims_mean from lead"""))
 def _(t):
-    d = saved(lead_times(t.marked, t.faults, heavy=t.heavy))
+    d = saved(lead_times(t.marked, t.faults, heavy=t.heavy, span=t.trips))
     med = quantiles(d, F.col("lead_h"), [0.5], ["m"]).select("m").scalar()
     n = F.count("alarm_at")
     return d.agg(F.count(F.lit(1)).alias("faults"), n.alias("with_prior_alarm"), S.percent(n, F.count(F.lit(1))).alias("share_pct"),
@@ -270,7 +270,7 @@ def _(t):
 @query("rank_concentration", sql("marked faults", LEAD + """select round(quantile_cont(lead_h, 0.25), 9) q25, round(quantile_cont(lead_h, 0.5), 9) q50,
     round(quantile_cont(lead_h, 0.75), 9) q75 from lead"""))
 def _(t):
-    d = A.quartiles(lead_times(t.marked, t.faults, heavy=t.heavy), F.col("lead_h"))
+    d = A.quartiles(lead_times(t.marked, t.faults, heavy=t.heavy, span=t.trips), F.col("lead_h"))
     return d.select(*[F.round(c, 9).alias(c) for c in d.columns])
 
 

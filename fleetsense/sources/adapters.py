@@ -34,7 +34,7 @@ class Tables:
     @staticmethod
     def _events(raw: DataFrame) -> DataFrame:
         return raw.select("event_id", "ts", "user_id", "event_type", "value",
-                          F.get_json_object("props", "$.k").cast("int").alias("k"))
+                          F.regexp_extract("props", r'"k": *([0-9]+)', 1).try_cast("int").alias("k"))
 
     @cached_property
     def now(self):
