@@ -16,22 +16,21 @@ from .timeline import Heavy, saved
 def rehearse(trips: DataFrame, windows: tuple[int, ...], rule: Rule = Rule(), heavy: Heavy | None = None) -> DataFrame:
     """Per window length and day: both list sizes, common and missed bikes, Jaccard per cent.
 
-    Only the last ``w`` days of a bike matter for a list, so each rental is handed to the ``w`` list days it can
-    influence (a constant factor) and all lists are marked in one job per window length.
+    A run seen from inside a window is the end of the full run, so its chain is never longer: only bikes of the full
+    list can be on a short one. Just their rentals of the window days are marked again, all days in one job.
     """
     full = chains.last_row(chains.mark(trips, rule, "person", heavy).withColumn("_d", F.to_date("t0")), "bike", "_d")
-    full = full.where(F.when(F.col("dud"), F.col("streak") + 1).otherwise(0) >= rule.alarm_k).select(F.date_add("_d", 1).alias("day"), "bike")
+    full = saved(full.where(chain_after() >= rule.alarm_k).select(F.date_add("_d", 1).alias("day"), "bike"))
     out = []
     for w in windows:
-        short = _lists_of_window(trips, w, rule, heavy)
+        short = _lists_of_window(trips, full, w, rule, heavy)
         out.append(lists.overlap(short, full, ["day", "bike"], "day").select(F.lit(w).cast("long").alias("days"), "*"))
     return reduce(DataFrame.unionByName, out)
 
 
-def _lists_of_window(trips: DataFrame, w: int, rule: Rule, heavy: Heavy | None) -> DataFrame:
-    d = trips.withColumn("_d", F.to_date("t0"))
-    span = d.select(F.col("_d").alias("last")).agg(F.max("last")).scalar()
-    d = d.withColumn("day", F.explode(F.sequence(F.date_add("_d", 1), F.date_add("_d", w)))).where(F.date_sub("day", 1) <= span)
+def _lists_of_window(trips: DataFrame, full: DataFrame, w: int, rule: Rule, heavy: Heavy | None) -> DataFrame:
+    need = full.withColumn("_d", F.explode(F.sequence(F.date_sub("day", w), F.date_sub("day", 1))))
+    d = trips.withColumn("_d", F.to_date("t0")).join(need, ["bike", "_d"])
     # a rental seen from another list day is another asset: the key carries both
     key = F.concat_ws("@", "bike", F.col("day").cast("string"))
     seen = d.select(key.alias("_key"), F.col("bike").alias("_bike"), "day", "ord", "t0", "t1", "st0", "st1", "dist_m", "who")

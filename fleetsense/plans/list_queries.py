@@ -278,9 +278,9 @@ def _(t):
     return Q.unsettled_hours(ledger, F.lit("2024-01-01").cast("timestamp"), t.now)
 
 
-@query("recheck_hours", sql("health", f"select t from health where thin and t >= timestamp '2024-01-29' - interval 48 hours and t < timestamp '2024-01-29' - interval 7 hours"))
+@query("recheck_hours", sql("health", f"select t from health where thin and t >= timestamp '2024-01-27' - interval 48 hours and t < timestamp '2024-01-27' - interval 7 hours"))
 def _(t):
-    return Q.recheck_hours(health(t), F.lit("2024-01-29").cast("timestamp"))
+    return Q.recheck_hours(health(t), F.lit("2024-01-27").cast("timestamp"))
 
 
 # ---- set comparisons

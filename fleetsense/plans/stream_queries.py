@@ -48,8 +48,8 @@ def _(t):
 def _(t):
     s, tables, root = setup(t)
     late = F.col("ord") % 10 == 3
-    V.run_available(s.trips.where(~late), root, V.tick(tables, t.now, heavy=t.heavy))
-    V.run_available(s.trips.where(late), root, V.tick(tables, t.now, heavy=t.heavy))
+    V.run_available(s.trips.where(~late), root, V.tick(tables, t.now, heavy=t.heavy), "on-time")
+    V.run_available(s.trips.where(late), root, V.tick(tables, t.now, heavy=t.heavy), "late")
     return chains.mark(tables.rentals(), identity="person", heavy=t.heavy).select("bike", "ord", "dud", "retry", "streak", "alarm")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.timeline import saved
 from ..rules import KEEP_DAYS
 
 TRIP_VALUES = ["st0", "t1", "st1", "dist_m", "who"]
@@ -35,7 +36,8 @@ def write_upsert(old_path: str, new: DataFrame, key: list[str], values: list[str
     new = new.withColumn("day", day)
     touched = new.select("day").distinct()
     old = spark.read.parquet(old_path).join(F.broadcast(touched), "day", "left_semi")
-    merged = upsert(old, new, key, values).withColumn("day", day)
+    # evaluated before the folders it was read from are replaced
+    merged = saved(upsert(old, new, key, values).withColumn("day", day))
     days = merged.where("changed").select("day").distinct()
     replace_partitions(merged.join(days, "day", "left_semi").drop("changed"), old_path, "day")
 

@@ -121,9 +121,12 @@ def tick(tables: LiveTables, seen_at: Column | None = None, rule: Rule = Rule(),
     return run
 
 
-def run_available(stream: DataFrame, root: str, each) -> None:
-    """Process what is there now and stop; a production job uses a five-minute trigger with the same function."""
-    q = (stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/offsets-{uuid.uuid4().hex}")
+def run_available(stream: DataFrame, root: str, each, name: str = "main") -> None:
+    """Process what is there now and stop; a production job uses a five-minute trigger with the same function.
+
+    Offsets live under the root by stream name, so the next call goes on where this one ended.
+    """
+    q = (stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/offsets-{name}")
          .trigger(availableNow=True).start())
     q.awaitTermination()
 

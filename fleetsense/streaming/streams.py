@@ -34,7 +34,7 @@ def hourly_ledger(stream: DataFrame, root: str) -> str:
             new = new.unionByName(keep)
         replace_partitions(saved(new), path, "day")
 
-    run_available(stream, root, each)
+    run_available(stream, root, each, "ledger")
     return path
 
 
@@ -62,7 +62,7 @@ def changes(stream: DataFrame, signature: Column, root: str) -> str:
         m.groupBy("charger").agg(F.max_by(F.struct("at", "ord", "sig"), F.struct("at", "ord")).alias("r")).select(
             "charger", "r.*").write.mode("overwrite").parquet(f"{last}/v={batch_id}")
 
-    run_available(stream, root, each)
+    run_available(stream, root, each, "changes")
     return out
 
 

@@ -66,3 +66,44 @@ def test_distinct_other_bikes_before(spark):
         for t, b, i, st in data:
             want = {x[1] for x in data if x[3] == st and x[1] != b and x[0] >= t - 3600 and x[:3] < (t, b, i)}
             assert got[i] == len(want)
+
+
+def test_split_scans_give_the_same_features_and_rehearsal(spark):
+    from fleetsense.operators import chains, features, rehearsal
+
+    df = frame(spark, random_trips(7, n=700))
+    df = df.withColumns({"t0": F.timestamp_micros(F.unix_micros("t0") + 9 * 86_400_000_000), "t1": F.timestamp_micros(F.unix_micros("t1") + 9 * 86_400_000_000)})
+    heavy, station = find_heavy(df, "bike", "t0", 60), find_heavy(df, "st0", "t0", 60)
+    assert heavy is not None and station is not None
+    a = features.list_samples(chains.mark(df, identity="person"))
+    b = features.list_samples(chains.mark(df, identity="person", heavy=heavy), heavy, station)
+    cols = sorted(a.columns)
+    rows = sorted(map(str, a.select(cols).collect()))
+    assert rows and rows == sorted(map(str, b.select(cols).collect()))
+    x = sorted(map(str, rehearsal.rehearse(df, (1, 3)).collect()))
+    assert x and x == sorted(map(str, rehearsal.rehearse(df, (1, 3), heavy=heavy).collect()))
+
+
+def test_lead_times_match_brute_force(spark):
+    import datetime as dt
+
+    from fleetsense.operators import chains
+    from tests.helpers import BASE, fold
+
+    rows = random_trips(8, n=400)
+    rng = random.Random(9)
+    reports = sorted({(rng.choice(["hot", "b1", "b2"]), BASE + dt.timedelta(minutes=rng.randrange(2800))) for _ in range(60)})
+    d = frame(spark, rows)
+    f = spark.createDataFrame([(b, t, "k") for b, t in reports], "bike string, t timestamp, kind string")
+    marks = fold(rows)
+    want = []
+    for b, t in reports:
+        if not min(r[2] for r in rows) <= t <= max(r[2] for r in rows):
+            continue
+        alarms = [rows[i][4] for (bb, i), v in marks.items() if bb == b and v[3] and t - dt.timedelta(days=7) < rows[i][4] < t]
+        n = sum(1 for (bb, i), v in marks.items() if alarms and bb == b and v[0] and min(alarms) < rows[i][2] < t)
+        want.append((b, round(t.timestamp()), round(min(alarms).timestamp()) if alarms else None, n if alarms else None))
+    for heavy in (None, find_heavy(d, "bike", "t0", 40)):
+        m = chains.mark(d, identity="person", heavy=heavy)
+        got = temporal.lead_times(m, f, heavy=heavy, span=d).select("bike", F.unix_seconds("t").alias("t"), F.unix_seconds("alarm_at").alias("a"), "duds_between").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
