@@ -100,17 +100,19 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, b
     A line that many documents share is counted with map-side sums and looked up in SALTS parts."""
     spark = docs.sparkSession
     docs = docs.withColumn("text", text_of())
-    keyed = docs.select(row_key().alias("row"), F.split("text", "\n", -1).alias("lines"))
-    found = (keyed.select("row", F.posexplode("lines").alias("place", "line"))
-             .select("row", "place", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-             .select("row", "place", F.unhex(F.md5("key")).alias("key"), F.pmod(F.col("row"), F.lit(batches)).cast("int").alias("batch")))
+    # the keys of a text sorted together with their places: the first of equal keys stands for the document in the runs
+    keys = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(line_key(x).alias("key"), i.alias("place")))
+    keys = F.transform(F.filter(keys, lambda x: F.length(x.key) >= min_chars), lambda x: F.struct(F.unhex(F.md5(x.key)).alias("key"), x.place.alias("place")))
+    keyed = docs.select(row_key().alias("row"), F.sort_array(keys).alias("keys"))
+    found = keyed.select("row", F.posexplode(F.transform("keys", lambda x, i: F.struct(
+        x.key.alias("key"), x.place.alias("place"), ((i == 0) | (F.get("keys", i - 1).key != x.key)).alias("first")))).alias("i", "k"))
+    found = found.select("row", "k.*", F.pmod(F.col("row"), F.lit(batches)).cast("int").alias("batch"))
     path = work_folder(spark, "line-keys")
     found.write.partitionBy("batch").parquet(path)
     found = spark.read.schema(found.schema).parquet(path)
     runs = LineRuns(spark, min_docs)
     for b in range(batches):
-        # a text is split inside one task, so equal keys of a row are next to each other: the distinct is mostly map-side
-        runs.add(found.where(F.col("batch") == b).select("row", "key").distinct())
+        runs.add(found.where((F.col("batch") == b) & F.col("first")).select("key"))
     common = saved(runs.common(), "common-lines")
     salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dropped = (found.withColumn("salt", F.pmod(F.hash("row"), F.lit(SALTS))).join(salted, ["key", "salt"], "left_semi")
