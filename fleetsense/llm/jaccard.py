@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import saved, ship
 from .text import Hasher, grams, mix, texts
 
-PER_RANGE = 1_500_000           # shingles counted by one task, about
-FLUSH = 3_000_000               # shingles that a task gathers before it deals them out
+PER_RANGE = 1_000_000           # shingles counted by one task, about
+FLUSH = 2_000_000               # shingles that a task gathers before it deals them out
 COMMON = 127                    # document frequencies from here on rank alike, by hash
 BITS = 56
 MARK = np.int64(-1) << 62       # stands for COMMON documents of one task
@@ -151,9 +151,9 @@ def near_sizes(x: Column, y: Column, percent: int) -> Column:
     return (x * 100 >= y * percent) & (y * 100 >= x * percent)
 
 
-def room(n: Column, place: Column) -> Column:
-    """Shingles of a set from a place on."""
-    return n - place
+def reach(x: dict[str, Column], y: dict[str, Column]) -> Column:
+    """Most common shingles of two sets that share one at these places: unique shingles, which come first, never count."""
+    return F.least(x["place"] - x["unique"], y["place"] - y["unique"]) + F.least(x["n"] - x["place"], y["n"] - y["place"])
 
 
 def verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
@@ -170,11 +170,11 @@ def verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
 
 def pivot_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of each posting list's pivot with its other members."""
-    pivots = postings.groupBy("rank").agg(F.min(F.struct("place", "n", "doc")).alias("p"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    pivots = postings.groupBy("rank").agg(F.min(F.struct("place", "n", "unique", "doc")).alias("p"), F.count(F.lit(1)).alias("members")).where("members > 1")
     rows = postings.join(pivots, "rank").where(F.col("doc") != F.col("p.doc"))
     rows = rows.where(near_sizes(F.col("n"), F.col("p.n"), percent))
-    before = F.least("place", "p.place")
-    rows = rows.where(before + F.least(room(F.col("n"), F.col("place")), room(F.col("p.n"), F.col("p.place"))) >= required(F.col("n"), F.col("p.n"), percent))
+    one, two = ({c: F.col(side + c) for c in ("place", "n", "unique")} for side in ("", "p."))
+    rows = rows.where(reach(one, two) >= required(F.col("n"), F.col("p.n"), percent))
     return rows.select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b")).distinct()
 
 
@@ -185,13 +185,13 @@ def rest_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFram
     rows = postings.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     open_ = rows.groupBy("rank").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("rank")
     rows = saved(rows.join(open_, "rank"), "open-postings")
-    x, y = (rows.select("rank", *(F.col(c).alias(f"{s}_{c}") for c in ("doc", "n", "place", "label"))) for s in "xy")
-    ahead = F.least("x_place", "y_place") + F.least(room(F.col("x_n"), F.col("x_place")), room(F.col("y_n"), F.col("y_place")))
+    x, y = (rows.select("rank", *(F.col(c).alias(f"{s}_{c}") for c in ("doc", "n", "unique", "place", "label"))) for s in "xy")
+    ahead = reach(*({c: F.col(f"{s}_{c}") for c in ("place", "n", "unique")} for s in "xy"))
     both = x.join(y, (x["rank"] == y["rank"]) & (F.col("x_doc") < F.col("y_doc")) & (F.col("x_label") != F.col("y_label"))
                   & near_sizes(F.col("x_n"), F.col("y_n"), percent) & (ahead >= required(F.col("x_n"), F.col("y_n"), percent)))
     pairs = both.groupBy(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).agg(
         F.min("x_place").alias("i"), F.min("y_place").alias("j"), F.first("x_n").alias("n"), F.first("y_n").alias("m"))
-    return pairs.where(F.least(room(F.col("n"), F.col("i")), room(F.col("m"), F.col("j"))) >= required(F.col("n"), F.col("m"), percent)).select("a", "b")
+    return pairs.where(F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= required(F.col("n"), F.col("m"), percent)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     live = saved(lists.withColumn("open", (prefix - F.col("unique")).cast("int")).where("open > 0"), "live")
     postings = live.select("doc", "n", "unique", F.posexplode(F.slice("ranks", F.lit(1), F.col("open"))).alias("i", "rank"))
-    postings = saved(postings.select("rank", "doc", "n", (F.col("unique") + F.col("i")).alias("place")), "postings")
+    postings = saved(postings.select("rank", "doc", "n", "unique", (F.col("unique") + F.col("i")).alias("place")), "postings")
     links = saved(verified(pivot_pairs(postings, percent), live, percent), "links")
     labels = components(links)
     more = saved(verified(rest_pairs(postings, labels, percent), live, percent), "more-links")
