@@ -151,9 +151,14 @@ def near_sizes(x: Column, y: Column, percent: int) -> Column:
     return (x * 100 >= y * percent) & (y * 100 >= x * percent)
 
 
-def reach(x: dict[str, Column], y: dict[str, Column]) -> Column:
-    """Most common shingles of two sets that share one at these places: unique shingles, which come first, never count."""
-    return F.least(x["place"] - x["unique"], y["place"] - y["unique"]) + F.least(x["n"] - x["place"], y["n"] - y["place"])
+def may_link(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
+    """Whether two sets that share a shingle at these places can be linked, by it.
+
+    Sizes must be near; the shingle must be in the prefixes that the two sizes leave; and the shingles before it, without
+    unique ones, and those from it on must suffice."""
+    least = required(x["n"], y["n"], percent)
+    reach = F.least(x["place"] - x["unique"], y["place"] - y["unique"]) + F.least(x["n"] - x["place"], y["n"] - y["place"])
+    return near_sizes(x["n"], y["n"], percent) & (x["place"] <= x["n"] - least) & (y["place"] <= y["n"] - least) & (reach >= least)
 
 
 def verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
@@ -172,9 +177,8 @@ def pivot_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of each posting list's pivot with its other members."""
     pivots = postings.groupBy("rank").agg(F.min(F.struct("place", "n", "unique", "doc")).alias("p"), F.count(F.lit(1)).alias("members")).where("members > 1")
     rows = postings.join(pivots, "rank").where(F.col("doc") != F.col("p.doc"))
-    rows = rows.where(near_sizes(F.col("n"), F.col("p.n"), percent))
     one, two = ({c: F.col(side + c) for c in ("place", "n", "unique")} for side in ("", "p."))
-    rows = rows.where(reach(one, two) >= required(F.col("n"), F.col("p.n"), percent))
+    rows = rows.where(may_link(one, two, percent))
     return rows.select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b")).distinct()
 
 
@@ -186,9 +190,8 @@ def rest_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFram
     open_ = rows.groupBy("rank").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("rank")
     rows = saved(rows.join(open_, "rank"), "open-postings")
     x, y = (rows.select("rank", *(F.col(c).alias(f"{s}_{c}") for c in ("doc", "n", "unique", "place", "label"))) for s in "xy")
-    ahead = reach(*({c: F.col(f"{s}_{c}") for c in ("place", "n", "unique")} for s in "xy"))
-    both = x.join(y, (x["rank"] == y["rank"]) & (F.col("x_doc") < F.col("y_doc")) & (F.col("x_label") != F.col("y_label"))
-                  & near_sizes(F.col("x_n"), F.col("y_n"), percent) & (ahead >= required(F.col("x_n"), F.col("y_n"), percent)))
+    one, two = ({c: F.col(f"{s}_{c}") for c in ("place", "n", "unique")} for s in "xy")
+    both = x.join(y, (x["rank"] == y["rank"]) & (F.col("x_doc") < F.col("y_doc")) & (F.col("x_label") != F.col("y_label")) & may_link(one, two, percent))
     pairs = both.groupBy(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).agg(
         F.min("x_place").alias("i"), F.min("y_place").alias("j"), F.first("x_n").alias("n"), F.first("y_n").alias("m"))
     return pairs.where(F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= required(F.col("n"), F.col("m"), percent)).select("a", "b")
