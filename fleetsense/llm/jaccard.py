@@ -7,8 +7,8 @@ A document is the set of its distinct n-word shingles, as 56-bit hashes. Equal s
    are done. Length and positional filters look at sizes and places, a suffix filter compares the parts below and above
    a probe shingle; pairs that are left are verified once, on the shared shingles.
 3. Posting lists of large groups are not turned into all pairs: every list first links its members with one pivot (the
-   member with the least rarer shingles). After those links are merged into components, only pairs of different
-   components remain to be looked at, and all of these are.
+   member with the least rarer shingles, in later turns one by hash). After those links are merged into components, only
+   pairs of different components remain to be looked at, and all of these are.
 
 Null, empty or wordless texts have no shingles and no links. Rows that share a doc_id are one document, with the text of
 fewest shingles (then smallest signature). Null doc_ids give one row without a component. Other columns are ignored; an
@@ -33,6 +33,7 @@ COMMON = 127                    # document frequencies from here on rank alike,
 BITS = 56
 MARK = np.int64(-1) << 62       # stands for COMMON documents of one task
 SALTS = 32
+TURNS = 3                       # pivots of a posting list
 
 
 def shingles(batch: pa.RecordBatch, hasher: Hasher, column: int, n: int) -> Iterator[np.ndarray]:
@@ -173,22 +174,33 @@ def verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
     return rows.where(F.size(F.array_intersect("r_a", "r_b")) >= F.col("least")).select("a", "b")
 
 
-def pivot_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of each posting list's pivot with its other members."""
-    pivots = postings.groupBy("rank").agg(F.min(F.struct("place", "n", "unique", "doc")).alias("p"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    rows = postings.join(pivots, "rank").where(F.col("doc") != F.col("p.doc"))
+def pivot_pairs(postings: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of a pivot with the members of other components, in each posting list and class of sizes.
+
+    In the first turn the pivot is the member with the least rarer shingles, then one by hash."""
+    kind = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
+    rows = postings.withColumn("kind", kind)
+    order = F.struct("place", "n", "unique", "doc", "label") if not turn else F.struct(F.xxhash64(F.lit(turn), "doc").alias("by"), "place", "n", "unique", "doc", "label")
+    pivots = rows.groupBy("rank", "kind").agg(F.min(order).alias("p"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    rows = rows.join(pivots, ["rank", "kind"]).where(F.col("label") != F.col("p.label"))
     one, two = ({c: F.col(side + c) for c in ("place", "n", "unique")} for side in ("", "p."))
     rows = rows.where(may_link(one, two, percent))
     return rows.select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b")).distinct()
 
 
-def rest_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def still_open(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Postings with the component of their document, in lists that hold several components."""
+    if labels is None:
+        return postings.withColumn("label", F.col("doc"))
+    rows = postings.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    lists = rows.groupBy("rank").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("rank")
+    return saved(rows.join(lists, "rank"), "open-postings")
+
+
+def rest_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) of different components that share a prefix shingle and pass the length and positional filters.
 
     The first common shingle of a pair has the smallest place in both, so places are minima over the pair's lists."""
-    rows = postings.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    open_ = rows.groupBy("rank").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("rank")
-    rows = saved(rows.join(open_, "rank"), "open-postings")
     x, y = (rows.select("rank", *(F.col(c).alias(f"{s}_{c}") for c in ("doc", "n", "unique", "place", "label"))) for s in "xy")
     one, two = ({c: F.col(f"{s}_{c}") for c in ("place", "n", "unique")} for s in "xy")
     both = x.join(y, (x["rank"] == y["rank"]) & (F.col("x_doc") < F.col("y_doc")) & (F.col("x_label") != F.col("y_label")) & may_link(one, two, percent))
@@ -245,9 +257,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     live = saved(lists.withColumn("open", (prefix - F.col("unique")).cast("int")).where("open > 0"), "live")
     postings = live.select("doc", "n", "unique", F.posexplode(F.slice("ranks", F.lit(1), F.col("open"))).alias("i", "rank"))
     postings = saved(postings.select("rank", "doc", "n", "unique", (F.col("unique") + F.col("i")).alias("place")), "postings")
-    links = saved(verified(pivot_pairs(postings, percent), live, percent), "links")
-    labels = components(links)
-    more = saved(verified(rest_pairs(postings, labels, percent), live, percent), "more-links")
+    labels = links = None
+    for turn in range(TURNS):
+        pairs = pivot_pairs(still_open(postings, labels), percent, turn)
+        new = saved(verified(pairs, live, percent), "links")
+        links = new if links is None else links.union(new)
+        if turn and new.isEmpty():
+            break
+        labels = components(links)
+    more = saved(verified(rest_pairs(still_open(postings, labels), percent), live, percent), "more-links")
     if not more.isEmpty():
         labels = components(links.union(more))
     out = member.join(labels.select(F.col("doc").alias("head"), "label"), "head", "left")
