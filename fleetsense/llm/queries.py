@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fingerprint, jaccard, linededup, quality, warc
+from . import bpe, chat, chunks, decontaminate, fingerprint, jaccard, linededup, quality, tokencount, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,6 +70,12 @@ def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents"), n=4, percent=85)
 
 
+@query()
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Unigram token counts of every text."""
+    return tokencount.count_tokens(table(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 @query()
 def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Sketch every text and its edited text; compare them, and the next document."""
@@ -86,6 +92,12 @@ def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
                        fingerprint.distinct(own).alias("distinct_shingles"))
 
 
+@query()
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated passages of every text."""
+    return chunks.repeats(table(spark, folder, "documents"))
+
+
 @query()
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Score every text; labels of held-out rows are not learnt from."""
