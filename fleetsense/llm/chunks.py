@@ -84,7 +84,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "row long, doc_id long, start long, size long, digest long")
 
 
-def repeats(docs: DataFrame, min_bytes: int = 96) -> DataFrame:
+def repeats(docs: DataFrame, min_bytes: int = 64) -> DataFrame:
     """doc_id, start, size, chunks, kept_bytes: the repeated passages of each document, in bytes of its UTF-8 text.
 
     kept_bytes counts the bytes of the passage that are first occurrences, which dedup keeps. Digests are counted with

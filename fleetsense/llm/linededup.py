@@ -56,6 +56,10 @@ class LineRuns:
          .option("path", f"{self.folder}/{name}").saveAsTable(name))
         return name
 
+    def rows(self, name: str) -> DataFrame:
+        """A run as plain rows, to be united with others; a bucketed scan is only for merging joins."""
+        return self.spark.read.schema("key binary, docs long").parquet(f"{self.folder}/{name}")
+
     def unsettled(self, rows: DataFrame) -> DataFrame:
         for name in self.settled:
             rows = rows.join(self.spark.table(name).hint("merge"), "key", "left_anti")
@@ -78,17 +82,17 @@ class LineRuns:
 
     def total(self, names: list[str]) -> DataFrame:
         """Counts of several runs together, without keys that are settled meanwhile."""
-        rows = self.spark.table(names[0])
+        rows = self.rows(names[0])
         for name in names[1:]:
-            rows = rows.union(self.spark.table(name))
+            rows = rows.union(self.rows(name))
         return self.unsettled(rows.groupBy("key").agg(F.sum("docs").alias("docs")))
 
     def common(self) -> DataFrame:
         """Keys found in at least min_docs documents."""
         names = [n for level in self.levels for n in level]
-        out = self.total(names).where(F.col("docs") >= self.min_docs).select("key") if names else None
+        out = saved(self.total(names).where(F.col("docs") >= self.min_docs).select("key"), "late-lines") if names else None
         for name in self.settled:
-            rows = self.spark.table(name).select("key")
+            rows = self.rows(name).select("key")
             out = rows if out is None else out.union(rows)
         return out
 
