@@ -260,7 +260,7 @@ def _(t):
 # ---- fault kind from the shape of the duds before it
 
 FK = """, sp as (select min(t0) lo, max(t0) hi from marked),
- fk as (select f.bike, f.t, f.kind = 'k1' terminal, count(*) n_dud, cast(count(*) filter (where m.t1 - m.t0 < interval 30 seconds and m.dist_m < 150) as double) / count(*) fast
+ fk as (select f.bike, f.t, f.kind = 'k1' terminal, count(*) n_dud, cast(count(*) filter (where m.t1 - m.t0 < interval 30 seconds and m.dist_m < 50) as double) / count(*) fast
    from sp, faults f join marked m on m.dud and m.bike = f.bike and m.t1 < f.t and m.t1 >= f.t - interval 24 hours where f.t between sp.lo and sp.hi group by 1, 2, 3)"""
 
 
@@ -269,7 +269,7 @@ def fault_kinds(t):
     f = t.faults.where((F.col("t") >= span.select("lo").scalar()) & (F.col("t") <= span.select("hi").scalar()))
     f = f.withColumns({"_lo": S.shift_seconds("t", -86400), "_id": F.struct("bike", "t")})
     duds = t.marked.where("dud").select("bike", "t0", "t1", "dist_m")
-    fast = ((S.seconds_between("t0", "t1") < 30) & (F.col("dist_m") < 150)).cast("int")
+    fast = ((S.seconds_between("t0", "t1") < 30) & (F.col("dist_m") < 50)).cast("int")
     d = range_count(duds, f, "bike", "t1", "bike", "_lo", "t", "n_dud", lo_open=False, hi_open=True, heavy=t.heavy)
     d = d.withColumn("_id", F.struct("bike", "t"))
     d = range_count(duds, d, "bike", "t1", "bike", "_lo", "t", "n_fast", lo_open=False, hi_open=True, weight=fast, heavy=t.heavy)

@@ -21,7 +21,7 @@ def finish_trips(df: DataFrame) -> DataFrame:
     order = F.col("ord") if "ord" in df.columns else F.xxhash64("st0", "t1", "st1", "dist_m", "who")
     out = df.select(F.col("bike").cast("string").alias("bike"), order.alias("ord"), time("t0").alias("t0"), "st0",
                     time("t1").alias("t1"), "st1", S.coerce_distance(F.col("dist_m")).alias("dist_m"), "who")
-    return out.dropna(subset=["t0", "t1"])
+    return out.dropna(subset=["bike", "t0", "t1"])      # rentals without an asset form no chain
 
 
 def resolve_names(columns: list[str]) -> dict[str, str]:

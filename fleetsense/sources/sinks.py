@@ -105,9 +105,11 @@ def top_districts(layer: DataFrame, k: int = 10) -> DataFrame:
 
 
 def incremental(old: DataFrame, new: DataFrame, at: str = "at", back_seconds: int = 3600) -> DataFrame:
-    """Re-pull from an hour before the newest stored row: older rows stay, later ones come from the pull."""
-    cut = old.agg(F.max(F.unix_micros(at)).alias("m")).scalar() - back_seconds * 1_000_000
-    return (old.where(F.unix_micros(at) < cut).withColumn("origin", F.lit("kept"))
+    """Re-pull from an hour before the newest stored row: older rows stay, later ones come from the pull. An empty store
+    takes all pulled rows with a time; stored rows without a time stay."""
+    newest = old.agg(F.max(F.unix_micros(at)).alias("m")).scalar()
+    cut = F.coalesce(newest, F.lit(-(1 << 62))) - back_seconds * 1_000_000
+    return (old.where((F.unix_micros(at) < cut) | F.col(at).isNull()).withColumn("origin", F.lit("kept"))
             .unionByName(new.where(F.unix_micros(at) >= cut).withColumn("origin", F.lit("pulled"))))
 
 
