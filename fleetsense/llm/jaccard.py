@@ -200,10 +200,12 @@ def still_open(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
 def rest_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) of different components that share a prefix shingle and pass the length and positional filters.
 
-    The first common shingle of a pair has the smallest place in both, so places are minima over the pair's lists."""
-    x, y = (rows.select("rank", *(F.col(c).alias(f"{s}_{c}") for c in ("doc", "n", "unique", "place", "label"))) for s in "xy")
+    The first common shingle of a pair has the smallest place in both, so places are minima over the pair's lists. A pair
+    that shares the shingle ahead of this one too has already met there, with the same room; it is not made again."""
+    x, y = (rows.select("rank", *(F.col(c).alias(f"{s}_{c}") for c in ("doc", "n", "unique", "place", "label", "ahead"))) for s in "xy")
     one, two = ({c: F.col(f"{s}_{c}") for c in ("place", "n", "unique")} for s in "xy")
-    both = x.join(y, (x["rank"] == y["rank"]) & (F.col("x_doc") < F.col("y_doc")) & (F.col("x_label") != F.col("y_label")) & may_link(one, two, percent))
+    both = x.join(y, (x["rank"] == y["rank"]) & (F.col("x_doc") < F.col("y_doc")) & (F.col("x_label") != F.col("y_label"))
+                  & F.coalesce(F.col("x_ahead") != F.col("y_ahead"), F.lit(True)) & may_link(one, two, percent))
     pairs = both.groupBy(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).agg(
         F.min("x_place").alias("i"), F.min("y_place").alias("j"), F.first("x_n").alias("n"), F.first("y_n").alias("m"))
     return pairs.where(F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= required(F.col("n"), F.col("m"), percent)).select("a", "b")
@@ -255,8 +257,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     lists = lists.join(heads.select(F.col("doc_id").alias("doc"), "n"), "doc").withColumn("unique", F.col("n") - F.size("ranks"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     live = saved(lists.withColumn("open", (prefix - F.col("unique")).cast("int")).where("open > 0"), "live")
-    postings = live.select("doc", "n", "unique", F.posexplode(F.slice("ranks", F.lit(1), F.col("open"))).alias("i", "rank"))
-    postings = saved(postings.select("rank", "doc", "n", "unique", (F.col("unique") + F.col("i")).alias("place")), "postings")
+    postings = live.select("doc", "n", "unique", "ranks", F.posexplode(F.slice("ranks", F.lit(1), F.col("open"))).alias("i", "rank"))
+    postings = saved(postings.select("rank", "doc", "n", "unique", (F.col("unique") + F.col("i")).alias("place"), F.get("ranks", F.col("i") - 1).alias("ahead")), "postings")
     labels = links = None
     for turn in range(TURNS):
         pairs = pivot_pairs(still_open(postings, labels), percent, turn)
