@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import saved, ship
 from .text import Hasher, grams, mix, texts
 
-PER_RANGE = 1_000_000           # shingles counted by one task, about
-FLUSH = 2_000_000               # shingles that a task gathers before it deals them out
+PER_RANGE = 500_000             # shingles counted by one task, about
+FLUSH = 1_000_000               # shingles that a task gathers before it deals them out
 COMMON = 127                    # document frequencies from here on rank alike, by hash
 BITS = 56
 MARK = np.int64(-1) << 62       # stands for COMMON documents of one task
@@ -91,6 +91,8 @@ def deal(docs: DataFrame, n: int, ranges: int) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             rows = pack(np.repeat(np.array(ids, np.int64), [len(x) for x in found]), np.concatenate(found), -1 - task - 100_003 * flushes)
+            ids.clear()
+            found.clear()       # pack holds its own copies
             for r, d, s in rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int64()), pa.array([d], pa.binary()), pa.array([s], pa.binary())], ["range", "docs", "shingles"])
 
@@ -102,7 +104,7 @@ def deal(docs: DataFrame, n: int, ranges: int) -> DataFrame:
                     size += len(s)
                 if size >= FLUSH:
                     yield from out()
-                    ids, found, size, flushes = [], [], 0, flushes + 1
+                    size, flushes = 0, flushes + 1
         if found:
             yield from out()
 
