@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,9 @@ PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 NONE = np.int64(1) << 60        # a pair that no rule merges
 ROWS = 4096                     # pre-tokens merged side by side
-KEPT = 400_000                  # pre-tokens kept by a task; then the table starts anew
-BYTES = 1 << 21                 # text encoded at a time
+KEPT = 100_000                  # pre-tokens kept by a task; then the table starts anew
+BYTES = 1 << 19                 # text encoded at a time
+ROWS_READ = 256                 # texts turned into Python strings at a time
 
 
 class Vocabulary:
@@ -181,7 +182,7 @@ class Encoder:
         return [b"".join([self.known[w] if isinstance(w, str) else w for w in own]) for own in parts]
 
 
-def groups(texts: list[str], most: int = BYTES) -> Iterator[list[str]]:
+def groups(texts: Iterable[str], most: int = BYTES) -> Iterator[list[str]]:
     """Consecutive texts of about `most` characters together."""
     out, size = [], 0
     for t in texts:
@@ -206,7 +207,9 @@ def tokenize(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
         encoder = Encoder(v)
         for batch in batches:
             at = 0
-            for part in groups(batch.column(1).fill_null("").to_pylist()):
+            column = batch.column(1).fill_null("")
+            texts = (t for k in range(0, len(column), ROWS_READ) for t in column.slice(k, ROWS_READ).to_pylist())
+            for part in groups(texts):
                 coded = encoder.encode(part)
                 out = [batch.column(0).slice(at, len(part)), pa.array([len(x) // 4 for x in coded], pa.int64()),
                        pa.array([hashlib.sha256(x).hexdigest() for x in coded], pa.string()),
