@@ -13,6 +13,7 @@ BIKE_FORM = r"^SPB-[0-9]{5,6}$"
 FINE = "멀쩡함"
 VERDICTS = ("체인·기어", "타이어", "안장·핸들", "브레이크", "멀쩡함")
 STATUSES = ("체인·기어", "타이어", "안장·핸들", "브레이크", "멀쩡함", "기타 고장")
+RESCUE_STATUSES = STATUSES[:5]     # the last one is for surveys only
 PHOTO_FORM = r"^[0-9a-f]{16}\.jpg$"
 LAT_RANGE = (33.0, 39.0)
 LON_RANGE = (124.0, 132.0)
@@ -137,11 +138,11 @@ def log_loss_term(y: Column, p: Column) -> Column:
     return -(y * F.log(q) + (1 - y) * F.log(1 - q))
 
 
-def report_problem() -> Column:
-    """First broken rule of a human report, null when it is valid."""
+def report_problem(statuses: tuple[str, ...] = STATUSES) -> Column:
+    """First broken rule of a human report, null when it is valid. Rescue reports take ``RESCUE_STATUSES``."""
     return (
         F.when(~F.coalesce(F.col("bike").rlike(BIKE_FORM), F.lit(False)), "bike")
-        .when(~F.coalesce(F.col("verdict").isin(*STATUSES), F.lit(False)), "verdict")
+        .when(~F.coalesce(F.col("verdict").isin(*statuses), F.lit(False)), "verdict")
         .when(F.length(F.coalesce("note", F.lit(""))) > NOTE_MAX, "note")
         .when(F.col("lat").isNotNull() & ~F.col("lat").between(*LAT_RANGE), "lat")
         .when(F.col("lon").isNotNull() & ~F.col("lon").between(*LON_RANGE), "lon")
@@ -156,7 +157,3 @@ def status_signature(*cols: str) -> Column:
 
 def percent(hits: Column, n: Column) -> Column:
     return F.when(n > 0, 100.0 * hits / n)
-
-
-def count_true(c: Column) -> Column:
-    return F.count_if(c)

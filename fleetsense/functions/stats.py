@@ -49,11 +49,11 @@ def auc(df: DataFrame, score: Column, label: Column) -> DataFrame:
 def top_by_count(df: DataFrame, score: Column, tie: list[str], k: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """Flag ``chosen``: rows among the k best scores (ties by ``tie``); k is a column constant within ``by``.
 
-    Global order is cut into score bins, so the whole table is never ranked in one task.
+    Global order is cut into score bins, so the whole table is never ranked in one task. Null scores are never chosen.
     """
     d = df.withColumn("_desc", -score.cast("double")).withColumn("_k", k)
-    rows = ordered(d, list(by), ["_desc", *tie]).add(_rank=running_sum(F.lit(1))).done()
-    return rows.withColumn("chosen", F.col("_rank") <= F.col("_k")).drop("_desc", "_k", "_rank")
+    rows = ordered(d, list(by), ["_desc", *tie]).add(_rank=running_sum(F.col("_desc").isNotNull().cast("int"))).done()
+    return rows.withColumn("chosen", F.col("_desc").isNotNull() & (F.col("_rank") <= F.col("_k"))).drop("_desc", "_k", "_rank")
 
 
 def draws(seed: int, r: str, j: str, n: Column) -> Column:

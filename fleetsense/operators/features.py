@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import chain_after, micros, seconds_between
@@ -10,12 +10,13 @@ from . import chains
 from .temporal import range_count
 from .timeline import Heavy
 
+# The names and order that a model expects.
 FEATURES17 = ["chain", "run_len", "run_retries", "run_span_min", "dur_sec", "dist_m", "idle_before_min",
               "idle_before_run_min", "hour", "weekend", "last_normal_ago_h", "last_normal_dur_min", "hist7_rentals",
               "hist7_duds", "prior_alarms7", "st_dud_rate", "st_log_volume"]
 FEATURES7 = ["chain", "hist7_duds", "hist7_rentals", "prior_alarms7", "dur_sec", "age_h", "shun"]
 STEP_US = 3 * 3_600_000_000
-WARMUP_DAY = 8
+WARMUP_DAYS = 7
 
 
 def base_features(marked: DataFrame, heavy: Heavy | None = None):
@@ -46,17 +47,24 @@ def features17(marked: DataFrame, stats: DataFrame, heavy: Heavy | None = None)
     return rows.join(stats, rows.st1 == stats.st, "left").drop("st")
 
 
-def realtime_rows(features: DataFrame) -> DataFrame:
+def warm(rows: DataFrame, first: Column | None) -> Column:
+    """Whether a week of history lies before the day of t0. ``first`` is the earliest t0 of the data, that of the rows if
+    not given."""
+    first = rows.agg(F.min("t0")).scalar() if first is None else first
+    return F.to_date("t0") >= F.date_add(F.to_date(first), WARMUP_DAYS)
+
+
+def realtime_rows(features: DataFrame, first: Column | None = None) -> DataFrame:
     """Every dud return after the warm-up with the outcome of the next other person."""
-    return features.where(F.col("dud") & F.col("next_dud").isNotNull() & (F.dayofmonth("t0") >= WARMUP_DAY)).withColumns(
+    return features.where(F.col("dud") & F.col("next_dud").isNotNull() & warm(features, first)).withColumns(
         {"y": F.col("next_dud"), "day": F.to_date("t1")})
 
 
-def morning_rows(features: DataFrame) -> DataFrame:
+def morning_rows(features: DataFrame, first: Column | None = None) -> DataFrame:
     """Bikes whose last rental of a day was a dud, with the outcome of their next rental on a later day."""
     d = features.withColumn("_d", F.to_date("t0"))
     last = F.col("any_t0").isNotNull() & (F.to_date("any_t0") > F.col("_d"))
-    d = d.where(last & F.col("dud") & (F.dayofmonth("_d") >= WARMUP_DAY)).withColumn("day", F.date_add("_d", 1))
+    d = d.where(last & F.col("dud") & warm(features, first)).withColumn("day", F.date_add("_d", 1))
     return d.withColumns({"y": F.col("any_dud"),
                           "hours_to_midnight": (micros(F.col("day").cast("timestamp")) - micros("t1")) / 3.6e9}).drop("_d")
 
@@ -72,7 +80,7 @@ def list_samples(marked: DataFrame, heavy: Heavy | None = None, heavy_station: H
     """One row per list time (every 3 h) at which a bike with chain >= 2 stood on the list, with label y."""
     rows = base_features(marked, heavy).done()
     base = marked.agg(F.unix_micros(F.date_trunc("day", F.min("t1"))).alias("b")).scalar()
-    keep = F.col("dud") & (F.col("chain") >= 2) & (F.dayofmonth("t1") >= WARMUP_DAY)
+    keep = F.col("dud") & (F.col("chain") >= 2) & (micros("t1") >= base + WARMUP_DAYS * 86_400_000_000)
     if labelled:
         keep = keep & F.col("next_dud").isNotNull()
     end = F.least(F.coalesce(micros("any_t0"), micros("t1") + 86_400_000_000), micros("t1") + 86_400_000_000)

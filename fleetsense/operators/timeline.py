@@ -19,6 +19,7 @@ SLICE = "_slice"
 MAX_ROWS = 5_000_000      # rows of one key that one task may sort
 BURST = 16                # slices are cut this much finer than needed, for uneven arrival
 BROADCAST_ROWS = 2_000_000
+FIRST_SLICE = -(1 << 62)  # rows without a time come first
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -60,7 +61,7 @@ def find_heavy(df: DataFrame, key: str, time: str, max_rows: int = MAX_ROWS) ->
     )
     found = counts.where(F.col("n") > max_rows).select(
         "_hkey",
-        F.col("lo").alias("_hlo"),
+        F.coalesce("lo", F.lit(0)).alias("_hlo"),
         F.greatest(F.lit(1), ((F.col("hi") - F.col("lo")) * max_rows / (F.col("n") * BURST)).cast("long")).alias("_hwidth"),
     ).collect()
     if not found:
@@ -74,17 +75,19 @@ def ordered(df: DataFrame, key, order, bin_by: str | None = None, bins: int = 25
     """Timeline over an already aggregated table, evaluated once, whose groups may still be large.
 
     Up to a checked size it uses plain windows; beyond it is cut into bins of the first order column (a number, or a
-    time), so neither one group nor the whole table is scanned in one task.
+    time), so neither one group nor the whole table is scanned in one task. Nulls come first and NaN last, as in a sort.
     """
     df = saved(df)
     first = order[0] if bin_by is None else bin_by
-    at = F.unix_micros(first) if dict(df.dtypes)[first] == "timestamp" else F.col(first)
+    kind = dict(df.dtypes)[first]
+    at = F.unix_micros(first) if kind == "timestamp" else F.nanvl(first, F.lit(None).cast(kind)) if kind in ("double", "float") else F.col(first)
     size = df.agg(F.count("*").alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi")).first()
     if size.n <= MAX_ROWS:
         return Timeline(df, key, order)
-    step = (size.hi - size.lo) / bins
-    cut = F.floor((at - F.lit(size.lo)) / F.lit(step)) if step > 0 else F.lit(0)
-    return Timeline(df, key, order, slice_by=cut.cast("long"))
+    step = 0 if size.lo is None else (size.hi - size.lo) / bins
+    cut = F.floor((at - F.lit(size.lo)) / F.lit(step)) if step > 0 else at * 0
+    outside = F.when(F.col(first).isNull(), -1).otherwise(bins + 1)
+    return Timeline(df, key, order, slice_by=F.coalesce(cut.cast("long"), outside.cast("long")))
 
 
 @dataclass(frozen=True)
@@ -137,9 +140,10 @@ class Timeline:
             df = df.drop(SLICE)
         if heavy is not None:
             at = F.unix_micros(F.col(time or self.order[0]))
-            df = (df.join(heavy.small(), F.col(self.key[0]) == F.col("_hkey"), "left")
-                  .withColumn(SLICE, F.when(F.col("_hkey").isNotNull(),
-                                            F.floor((at - F.col("_hlo")) / F.col("_hwidth"))))
+            # a null key may be heavy too; its rows and rows without a time have slices like any other
+            df = (df.join(heavy.small(), F.col(self.key[0]).eqNullSafe(F.col("_hkey")), "left")
+                  .withColumn(SLICE, F.when(F.col("_hwidth").isNotNull(),
+                                            F.coalesce(F.floor((at - F.col("_hlo")) / F.col("_hwidth")), F.lit(FIRST_SLICE))))
                   .drop("_hkey", "_hlo", "_hwidth"))
         elif slice_by is not None:
             df = df.withColumn(SLICE, slice_by)
@@ -208,7 +212,7 @@ class Timeline:
 def _same(df: DataFrame, keys: list[str]) -> Column:
     cond = F.lit(True)
     for i, k in enumerate(keys):
-        cond = cond & (F.col(k) == F.col(f"_k{i}"))
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return cond
 
 

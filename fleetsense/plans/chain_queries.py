@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import chain_after, is_dud
-from ..operators import chains
+from ..operators import chains, metrics
 from ..rules import Rule
 from .oracle import NOW, sql
 from .registry import query
@@ -215,9 +215,6 @@ NEXT_TABLE = """select streak k, count(*) n, 100.0 * count(*) filter (where dud)
 
 @query("next_dud_table", sql("marked", NEXT_TABLE.replace("100.0 *", "cast(100 as double) *")))
 def _(t):
-    m = t.marked.where(~F.col("retry") & F.col("streak").between(0, 4))
-    return m.groupBy(F.col("streak").alias("k")).agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.lit(100.0) * F.count_if("dud") / F.count(F.lit(1))).alias("next_dud_pct"))
+    return metrics.next_dud_table(t.marked)
 
 

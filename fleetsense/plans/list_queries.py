@@ -111,12 +111,13 @@ def _(t):
     return L.default_day(morning(t), F.lit("2024-02-01").cast("date"), "2024-01-15")
 
 
-@query("lookup_bike", sql("morning ev0", """, q as (select distinct cast(user_id as varchar) raw, 'SPB-' || case when user_id < 100000 then lpad(cast(user_id as varchar), 5, '0') else cast(user_id as varchar) end id from ev0 where user_id >= 100),
+@query("lookup_bike", sql("morning ev0", """, q as (select distinct cast(user_id as varchar) raw, 'SPB-' || case when user_id < 100000 then lpad(cast(user_id as varchar), 5, '0') else cast(user_id as varchar) end id from ev0),
     l as (select 'SPB-' || case when length(bike) < 5 then lpad(bike, 5, '0') else bike end id, max_by(chain, "day") chain, max("day") as "day" from morning group by 1)
     select raw, q.id, l.day, l.chain, l.day is not null on_list from q left join l using (id)"""))
 def _(t):
-    q = t.events.where("user_id >= 100").select(F.col("user_id").cast("string").alias("raw")).distinct()
-    q = q.withColumn("id", S.norm_bike(F.concat(F.lit(" spb "), "raw")))
+    q = t.events.select(F.col("user_id").cast("string").alias("raw")).distinct()
+    padded = F.when(F.length("raw") < 5, F.lpad("raw", 5, "0")).otherwise(F.col("raw"))
+    q = q.withColumn("id", S.norm_bike(F.concat(F.lit(" spb "), padded)))
     e = morning(t).groupBy(F.format_string("SPB-%05d", F.col("bike").cast("int")).alias("id")).agg(
         F.max_by("chain", "day").alias("chain"), F.max("day").alias("day"))
     return q.join(e, "id", "left").withColumn("on_list", F.col("day").isNotNull())

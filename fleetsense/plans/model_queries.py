@@ -44,16 +44,23 @@ def _(t):
     return rounded(feats(t).select("bike", "ord", *X.FEATURES17))
 
 
-@query("realtime_rows", sql("feat", f"""select bike, ord, {F17}, next_dud y, cast(t1 as date) as "day" from feat where dud and next_dud is not null and day(t0) >= 8"""))
+WARM = "cast(t0 as date) >= (select cast(min(t0) as date) + 7 from trips)"
+
+
+def first_start(t):
+    return t.trips.agg(F.min("t0")).scalar()
+
+
+@query("realtime_rows", sql("feat", f"""select bike, ord, {F17}, next_dud y, cast(t1 as date) as "day" from feat where dud and next_dud is not null and {WARM}"""))
 def _(t):
-    return rounded(X.realtime_rows(feats(t)).select("bike", "ord", *X.FEATURES17, "y", "day"))
+    return rounded(X.realtime_rows(feats(t), first_start(t)).select("bike", "ord", *X.FEATURES17, "y", "day"))
 
 
 @query("morning_rows", sql("feat", f"""select bike, ord, {F17}, any_dud y, cast(cast(t0 as date) + interval 1 day as date) as "day",
     (epoch_us(cast(t0 as date) + interval 1 day) - epoch_us(t1)) / 3.6e9 hours_to_midnight from feat
-    where dud and any_t0 is not null and cast(any_t0 as date) > cast(t0 as date) and day(t0) >= 8"""))
+    where dud and any_t0 is not null and cast(any_t0 as date) > cast(t0 as date) and {WARM}"""))
 def _(t):
-    return rounded(X.morning_rows(feats(t)).select("bike", "ord", *X.FEATURES17, "y", "day", "hours_to_midnight"))
+    return rounded(X.morning_rows(feats(t), first_start(t)).select("bike", "ord", *X.FEATURES17, "y", "day", "hours_to_midnight"))
 
 
 cte("smp", ("feat",), """select c.*, (epoch_us("at") - epoch_us(t1)) / 3.6e9 age_h,
@@ -62,7 +69,7 @@ cte("smp", ("feat",), """select c.*, (epoch_us("at") - epoch_us(t1)) / 3.6e9 age
     from (select bike, ord, t0, t1, st1, next_dud y, chain, hist7_duds, hist7_rentals, prior_alarms7, dur_sec,
         unnest(generate_series(to_timestamp(0)::timestamp + to_microseconds(cast(ceil((epoch_us(t1) - b) / 10800000000.0) as bigint) * 10800000000 + b),
           least(coalesce(any_t0, t1 + interval 24 hours), t1 + interval 24 hours) - interval 1 second, interval 3 hours)) as at
-      from feat, (select epoch_us(date_trunc('day', min(t1))) b from marked) where dud and chain >= 2 and next_dud is not null and day(t1) >= 8) c""")
+      from feat, (select epoch_us(date_trunc('day', min(t1))) b from marked) where dud and chain >= 2 and next_dud is not null and epoch_us(t1) >= b + 7 * 86400000000) c""")
 cte("smpp", ("smp",), f"select *, {M.to_sql()} p from smp")
 
 
@@ -190,12 +197,12 @@ def _(t):
     return rule.select(F.lit("rule").alias("by_"), *cols).unionByName(model.select(F.lit("model").alias("by_"), *cols))
 
 
-@query("same_count_selection", sql("feat", f""", r as (select *, chain >= 2 rule, hist7_duds * 100 + run_len score from feat where dud and next_dud is not null and day(t0) >= 8),
+@query("same_count_selection", sql("feat", f""", r as (select *, chain >= 2 rule, hist7_duds * 100 + run_len score from feat where dud and next_dud is not null and {WARM}),
     k as (select *, row_number() over (order by score desc, bike, ord) rk, (select count(*) from r where rule) n from r)
     select count(*) filter (where rule) n, cast(100 as double) * count(*) filter (where rule and next_dud) / count(*) filter (where rule) rule_pct,
       cast(100 as double) * count(*) filter (where rk <= n and next_dud) / count(*) filter (where rk <= n) model_pct from k"""))
 def _(t):
-    d = X.realtime_rows(X.base_features(t.marked, t.heavy).done()).select("bike", "ord", "y", (F.col("chain") >= 2).alias("rule"),
+    d = X.realtime_rows(X.base_features(t.marked, t.heavy).done(), first_start(t)).select("bike", "ord", "y", (F.col("chain") >= 2).alias("rule"),
                                                                           (F.col("hist7_duds") * 100 + F.col("run_len")).alias("score"))
     d = saved(d)
     n = d.where("rule").agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -12,9 +12,9 @@ from .oracle import cte, sql
 from .registry import query
 
 HS = "[" + ", ".join(f"h{h}" for h in range(24)) + "]"
-cte("ent", ("morning", "profile"), f"""select m.day, m.bike, m.station, m.chain, coalesce(p.avg, 0) busy,
+cte("ent", ("morning", "profile", "trips"), f"""select m.day, m.bike, m.station, m.chain, coalesce(p.avg, 0) busy,
     case when p.avg is null then [1.0::double for x in range(24)] else {HS} end h from morning m left join profile p on p.station = m.station and p.day = m.day
-    where m.day > date '2024-01-07'""")
+    where m.day >= (select cast(min(t0) as date) + 7 from trips)""")
 cte("ld", ("morning", "marked"), """select "day", bike, (epoch_us(t0) - epoch_us(cast("day" as timestamp))) / 6e7 at_min from
     (select l.day, l.bike, m.t0, m.ord, m.dud, max(case when m.dud then 0 else 1 end) over (partition by l.day, l.bike order by m.t0, m.ord) stopped
       from morning l join marked m on m.bike = l.bike and cast(m.t0 as date) = l.day where not m.retry) where stopped = 0""")
@@ -30,7 +30,7 @@ cte("starts", ("stations",), f"""select area, id start, lat start_lat, lon start
 
 
 def entries(t):
-    lists = morning(t).where(F.col("day") > F.lit("2024-01-07").cast("date")).select("day", "bike", "station", "chain")
+    lists = morning(t).where(F.col("day") >= F.date_add(F.to_date(t.trips.agg(F.min("t0")).scalar()), 7)).select("day", "bike", "station", "chain")
     return saved(R.with_profile(lists, A.station_profile(t.trips)))
 
 

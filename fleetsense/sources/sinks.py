@@ -12,11 +12,13 @@ TRIP_VALUES = ["st0", "t1", "st1", "dist_m", "who"]
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], values: list[str]) -> DataFrame:
-    """Old and new rows by key, new ones winning; ``changed`` tells rows that are new or differ (null-safe)."""
+    """Old and new rows by key, new ones winning; ``changed`` tells rows that are new or differ (null-safe).
+
+    Rows of one key on one side are ordered by their values, in the order given; the largest stands."""
     cols = key + values
     both = old.select(*cols, F.lit(0).alias("_g")).unionByName(new.select(*cols, F.lit(1).alias("_g")))
     row = F.struct(*values)
-    g = both.groupBy(*key).agg(F.max_by(row, F.when(F.col("_g") == 0, 0)).alias("_o"), F.max_by(row, F.when(F.col("_g") == 1, 1)).alias("_n"))
+    g = both.groupBy(*key).agg(F.max(F.when(F.col("_g") == 0, row)).alias("_o"), F.max(F.when(F.col("_g") == 1, row)).alias("_n"))
     changed = F.col("_n").isNotNull() & ~F.col("_o").eqNullSafe(F.col("_n"))
     return g.select(*key, F.coalesce("_n", "_o").alias("_v"), changed.alias("changed")).select(*key, "_v.*", "changed")
 
@@ -35,7 +37,7 @@ def write_upsert(old_path: str, new: DataFrame, key: list[str], values: list[str
     spark = new.sparkSession
     new = new.withColumn("day", day)
     touched = new.select("day").distinct()
-    old = spark.read.parquet(old_path).join(F.broadcast(touched), "day", "left_semi")
+    old = spark.read.parquet(old_path).join(touched, "day", "left_semi")
     # evaluated before the folders it was read from are replaced
     merged = saved(upsert(old, new, key, values).withColumn("day", day))
     days = merged.where("changed").select("day").distinct()

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +46,6 @@ class LiveTables:
 
     spark: SparkSession
     root: str
-    timings: list = field(default_factory=list)
 
     @property
     def rentals_path(self) -> str:
@@ -98,15 +97,13 @@ class LiveTables:
     def prune(self, now: Column, days: int = KEEP_DAYS) -> DataFrame:
         return sinks.retention(self.rentals(), now, "t1", days)
 
-    def step(self, name: str, run):
-        """Run one step and note its milliseconds."""
-        start = time.monotonic()
-        out = run()
-        self.timings.append((name, int(1000 * (time.monotonic() - start))))
-        return out
+    def log_steps(self, batch_id: int, steps: list[tuple[str, int]]) -> None:
+        """Store the milliseconds of the steps of a batch; a replay adds its own."""
+        rows = self.spark.createDataFrame(steps, "step string, ms long").withColumn("batch", F.lit(batch_id).cast("long"))
+        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/steps")
 
     def timings_frame(self) -> DataFrame:
-        return self.spark.createDataFrame(self.timings, "step string, ms long")
+        return self.spark.read.schema("step string, ms long, batch long").parquet(f"{self.root}/steps")
 
 
 def tick(tables: LiveTables, seen_at: Column | None = None, rule: Rule = Rule(), heavy: Heavy | None = None):
@@ -115,9 +112,12 @@ def tick(tables: LiveTables, seen_at: Column | None = None, rule: Rule = Rule(),
         if batch.isEmpty():
             return
         batch = saved(batch)
-        bikes = tables.step("upsert", lambda: tables.upsert(batch))
+        start = time.monotonic()
+        bikes = tables.upsert(batch)
+        stored = time.monotonic()
         now = F.current_timestamp() if seen_at is None else seen_at
-        tables.step("alarms", lambda: tables.record_alarms(bikes, now, batch.agg(F.min("t0")), rule, heavy))
+        tables.record_alarms(bikes, now, batch.agg(F.min("t0")), rule, heavy)
+        tables.log_steps(batch_id, [("upsert", int(1000 * (stored - start))), ("alarms", int(1000 * (time.monotonic() - stored)))])
     return run
 
 

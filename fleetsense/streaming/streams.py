@@ -20,26 +20,26 @@ def drop_repeats(stream: DataFrame, keys: list[str], time: str, delay: str) -> D
 
 
 def hourly_ledger(stream: DataFrame, root: str) -> str:
-    """Row counts per hour, added to the stored ledger; each batch adds only to its own hours."""
-    path = f"{root}/ledger"
+    """Rentals per hour. Keys are stored once, and the hours of a touched day are counted anew from them, so a page that is
+    read again, or a replayed batch, changes nothing."""
+    path, seen = f"{root}/ledger", f"{root}/ledger-keys"
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.groupBy(F.date_trunc("hour", "t0").alias("t")).agg(F.count("*").alias("rows"))
-        new = new.withColumns({"batch": F.lit(batch_id), "day": F.to_date("t")})
-        old = read_or_none(spark, path)
+        keys = batch.select("bike", "t0").withColumn("day", F.to_date("t0"))
+        old = read_or_none(batch.sparkSession, seen)
         if old is not None:
-            # one row per (hour, batch): a replayed batch replaces its own counts
-            keep = old.where(F.col("batch") != batch_id).join(new.select("day").distinct(), "day", "left_semi")
-            new = new.unionByName(keep)
-        replace_partitions(saved(new), path, "day")
+            keys = keys.unionByName(old.join(keys.select("day").distinct(), "day", "left_semi"))
+        keys = saved(keys.distinct())
+        replace_partitions(keys, seen, "day")
+        hours = keys.groupBy("day", F.date_trunc("hour", "t0").alias("t")).agg(F.count("*").alias("rows"))
+        replace_partitions(hours, path, "day")
 
     run_available(stream, root, each, "ledger")
     return path
 
 
 def ledger_of(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).groupBy("t").agg(F.sum("rows").alias("rows"))
+    return spark.read.parquet(path).select("t", "rows")
 
 
 def changes(stream: DataFrame, signature: Column, root: str) -> str:

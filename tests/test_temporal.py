@@ -3,8 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fleetsense.operators import stationnoise, temporal
-from fleetsense.operators.timeline import find_heavy
+from fleetsense.functions.stats import top_by_count
+from fleetsense.operators import stationnoise, temporal, timeline
+from fleetsense.operators.timeline import Timeline, find_heavy, previous, running_sum
 from tests.helpers import frame, random_trips
 
 
@@ -72,7 +73,8 @@ def test_split_scans_give_the_same_features_and_rehearsal(spark):
     from fleetsense.operators import chains, features, rehearsal
 
     df = frame(spark, random_trips(7, n=700))
-    df = df.withColumns({"t0": F.timestamp_micros(F.unix_micros("t0") + 9 * 86_400_000_000), "t1": F.timestamp_micros(F.unix_micros("t1") + 9 * 86_400_000_000)})
+    later = 3 * (F.unix_micros("t0") - df.agg(F.unix_micros(F.min("t0"))).scalar())      # two weeks of rentals: the first is warm-up
+    df = df.withColumns({"t0": F.timestamp_micros(F.unix_micros("t0") + later), "t1": F.timestamp_micros(F.unix_micros("t1") + later)})
     heavy, station = find_heavy(df, "bike", "t0", 60), find_heavy(df, "st0", "t0", 60)
     assert heavy is not None and station is not None
     a = features.list_samples(chains.mark(df, identity="person"))
@@ -107,3 +109,27 @@ def test_lead_times_match_brute_force(spark):
         m = chains.mark(d, identity="person", heavy=heavy)
         got = temporal.lead_times(m, f, heavy=heavy, span=d).select("bike", F.unix_seconds("t").alias("t"), F.unix_seconds("alarm_at").alias("a"), "duds_between").collect()
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_null_key_and_null_time_split_like_any_other(spark):
+    rng = random.Random(8)
+    rows = [(None if i % 3 == 0 else f"k{rng.randrange(4)}", None if i % 17 == 0 else rng.randrange(500), i, rng.randrange(9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, s long, i long, v long").withColumn("t", F.timestamp_seconds("s"))
+    heavy = find_heavy(df, "k", "t", 30)
+    assert heavy is not None and heavy.frame.where("_hkey is null").count() == 1
+
+    def scan(h):
+        d = Timeline(df, "k", ["t", "i"], h).add(a=running_sum(F.col("v")), b=previous(F.struct("i"))).done()
+        return sorted((r.i, r.a, r.b and r.b.i) for r in d.collect())
+    assert scan(None) == scan(heavy)
+
+
+def test_null_and_nan_scores_are_the_same_at_both_sizes(spark, monkeypatch):
+    rows = [(i, None if i % 5 == 0 else float("nan") if i == 7 else float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "i long, s double")
+
+    def chosen():
+        return sorted(r.i for r in top_by_count(df, F.col("s"), ["i"], F.lit(5)).where("chosen").collect())
+    small = chosen()
+    monkeypatch.setattr(timeline, "MAX_ROWS", 10)
+    assert small == chosen() and len(small) == 5 and all(i % 5 for i in small)
