@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,18 +62,23 @@ def cooled(fires: DataFrame, minutes: int = 60, heavy: Heavy | None = None) -> D
     return kept
 
 
-def station_alarms(marked: DataFrame, k: int, heavy: Heavy | None = None, heavy_bike: Heavy | None = None) -> DataFrame:
-    """Rentals in the hour after k different bikes failed at a station within an hour, against the station's own rate."""
-    duds = marked.where("dud")
-    near = distinct_before(duds, heavy, heavy_bike)
-    # the bike itself is the k-th
-    fires = near.where(F.col("others") + 1 >= k).select("st1", "t1").distinct()
-    kept = cooled(saved(fires), heavy=heavy).withColumns({"_hi": F.timestamp_micros(micros("t1") + HOUR_US), "_id": F.struct("st1", "t1")})
+def station_alarms(marked: DataFrame, ks: tuple[int, ...], heavy: Heavy | None = None, heavy_bike: Heavy | None = None) -> DataFrame:
+    """Rentals in the hour after k different bikes failed at a station within an hour, against the station's own rate.
+
+    One row for each k; the duds before each dud are counted once for all of them."""
+    near = saved(distinct_before(marked.where("dud"), heavy, heavy_bike).select("st1", "t1", "others"))
     starts = marked.select("st0", "t0", "dud")
-    n = range_count(starts, kept, "st0", "t0", "st1", "t1", "_hi", "n", lo_open=True, hi_open=False, heavy=heavy)
-    n = n.withColumn("_id", F.struct("st1", "t1"))
-    n = range_count(starts, n, "st0", "t0", "st1", "t1", "_hi", "hits", lo_open=True, hi_open=False, weight=F.col("dud").cast("int"), heavy=heavy)
     own = marked.groupBy(F.col("st0").alias("st1")).agg((F.count_if("dud") / F.count(F.lit(1))).alias("own"))
-    n = n.join(own, "st1", "left").withColumn("expect", F.col("n") * F.coalesce("own", F.lit(0.0)))
-    return n.agg(F.lit(k).cast("long").alias("k"), F.count(F.lit(1)).alias("alarms"), F.sum("n").alias("rentals"), F.sum("hits").alias("duds"),
-                 F.sum("expect").alias("expected"))
+
+    def row(k: int) -> DataFrame:
+        # the bike itself is the k-th
+        fires = near.where(F.col("others") + 1 >= k).select("st1", "t1").distinct()
+        kept = cooled(saved(fires), heavy=heavy).withColumns({"_hi": F.timestamp_micros(micros("t1") + HOUR_US), "_id": F.struct("st1", "t1")})
+        n = range_count(starts, kept, "st0", "t0", "st1", "t1", "_hi", "n", lo_open=True, hi_open=False, heavy=heavy)
+        n = n.withColumn("_id", F.struct("st1", "t1"))
+        n = range_count(starts, n, "st0", "t0", "st1", "t1", "_hi", "hits", lo_open=True, hi_open=False, weight=F.col("dud").cast("int"), heavy=heavy)
+        n = n.join(own, "st1", "left").withColumn("expect", F.col("n") * F.coalesce("own", F.lit(0.0)))
+        return n.agg(F.lit(k).cast("long").alias("k"), F.count(F.lit(1)).alias("alarms"), F.sum("n").alias("rentals"), F.sum("hits").alias("duds"),
+                     F.sum("expect").alias("expected"))
+
+    return reduce(DataFrame.unionByName, [row(k) for k in ks])

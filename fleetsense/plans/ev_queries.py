@@ -178,6 +178,11 @@ def _(t):
     return K.match(t.trips, t.marked, 30, heavy=t.heavy_station)
 
 
+@query("flicker_match_120", sql("marked", flick(120) + " from fc"))
+def _(t):
+    return K.match(t.trips, t.marked, 120, heavy=t.heavy_station)
+
+
 TIERS = """, tr as (select st0 st, cast(count(*) as double) / (select count(distinct cast(t0 as date)) from trips) per_day from trips group by 1),
   ti as (select *, case when per_day < 20 then 'quiet' when per_day < 60 then 'normal' else 'busy' end tier from tr)"""
 
@@ -187,10 +192,16 @@ def _(t):
     return K.traffic_tiers(t.trips)
 
 
-@query("flicker_by_tier", sql("marked", TIERS + ", src as (select m.* from marked m where st0 in (select st from ti where tier = 'quiet') or st1 in (select st from ti where tier = 'quiet'))"
-       + flick(60, "src") + ", 'quiet' tier, (select count(*) from ti where tier = 'quiet') stations from fc"))
+TIER_NAMES = ("quiet", "normal", "busy")
+BY_TIER = " union all ".join(
+    f"select * from (with src as (select m.* from marked m where st0 in (select st from ti where tier = '{x}') or st1 in (select st from ti where tier = '{x}'))"
+    + flick(60, "src") + f", '{x}' tier, (select count(*) from ti where tier = '{x}') stations from fc)" for x in TIER_NAMES)
+
+
+@query("flicker_by_tier", sql("marked", TIERS + BY_TIER))
 def _(t):
-    return K.match_by_tier(t.trips, t.marked, K.traffic_tiers(t.trips), "quiet", 60, heavy=t.heavy_station)
+    tiers = saved(K.traffic_tiers(t.trips))
+    return reduce(DataFrame.unionByName, [K.match_by_tier(t.trips, t.marked, tiers, x, 60, heavy=t.heavy_station) for x in TIER_NAMES])
 
 
 # ---- station noise
@@ -215,15 +226,17 @@ def _(t):
         F.count(F.lit(1)).alias("alarms"), S.percent(F.count_if("next_dud"), F.count(F.lit(1))).alias("next_dud_pct"))
 
 
-@query("station_alarm", sql("marked", NOISE + """, fr as (select distinct st1, t1 from nz where others + 1 >= 2),
-    kp as (select st1, min(t1) t1 from fr group by 1 union all
-      select k.st1, (select min(f.t1) from fr f where f.st1 = k.st1 and f.t1 > k.t1 + interval 60 minutes) from kp k
-      where exists (select 1 from fr f where f.st1 = k.st1 and f.t1 > k.t1 + interval 60 minutes)),
+@query("station_alarm", sql("marked", NOISE + """, ks as (select cast(v as bigint) k from (values (2), (3), (4)) x(v)),
+    fr as (select distinct k, st1, t1 from nz, ks where others + 1 >= k),
+    kp as (select k, st1, min(t1) t1 from fr group by 1, 2 union all
+      select k.k, k.st1, (select min(f.t1) from fr f where f.k = k.k and f.st1 = k.st1 and f.t1 > k.t1 + interval 60 minutes) from kp k
+      where exists (select 1 from fr f where f.k = k.k and f.st1 = k.st1 and f.t1 > k.t1 + interval 60 minutes)),
     ow as (select st0, cast(count(*) filter (where dud) as double) / count(*) own from marked group by 1),
-    hx as (select k.st1, k.t1, count(m.bike) n, count(m.bike) filter (where m.dud) h from kp k left join marked m on m.st0 = k.st1 and m.t0 > k.t1 and m.t0 <= k.t1 + interval 60 minutes group by 1, 2)
-    select cast(2 as bigint) k, count(*) alarms, cast(sum(n) as bigint) rentals, cast(sum(h) as bigint) duds, round(sum(n * coalesce(own, 0)), 6) expected from hx left join ow on ow.st0 = hx.st1""", recursive=True))
+    hx as (select k.k, k.st1, k.t1, count(m.bike) n, count(m.bike) filter (where m.dud) h from kp k left join marked m on m.st0 = k.st1 and m.t0 > k.t1 and m.t0 <= k.t1 + interval 60 minutes group by 1, 2, 3)
+    select ks.k, count(hx.t1) alarms, cast(sum(n) as bigint) rentals, cast(sum(h) as bigint) duds, round(sum(n * coalesce(own, 0)), 6) expected
+    from ks left join hx on hx.k = ks.k left join ow on ow.st0 = hx.st1 group by 1""", recursive=True))
 def _(t):
-    return N.station_alarms(t.marked, 2, t.heavy_station, t.heavy).withColumn("expected", F.round("expected", 6))
+    return N.station_alarms(t.marked, (2, 3, 4), t.heavy_station, t.heavy).withColumn("expected", F.round("expected", 6))
 
 
 # ---- identity variants
@@ -276,15 +289,21 @@ def fault_kinds(t):
     return d.where("n_dud > 0").select("bike", "t", (F.col("kind") == "k1").alias("terminal"), "n_dud", (F.col("n_fast") / F.col("n_dud")).alias("fast"))
 
 
-@query("fault_kind_label", sql("marked faults", FK + """, g as (select fast, count(*) c, count(*) filter (where terminal) p, count(*) filter (where not terminal) q from fk group by 1),
-    a as (select sum(p * (below + q / 2.0)) / (sum(p) * sum(q)) auc from (select *, coalesce(sum(q) over (order by fast rows between unbounded preceding and 1 preceding), 0) below from g))
-    select count(*) faults, cast(100 as double) * count(*) filter (where terminal) / count(*) terminal_pct, cast(100 as double) * count(*) filter (where fast = 1 and terminal) / nullif(count(*) filter (where fast = 1), 0) precision_pct,
-      cast(100 as double) * count(*) filter (where fast = 1 and terminal) / nullif(count(*) filter (where terminal), 0) recall_pct, round(cast((select auc from a) as double), 9) auc from fk"""))
+@query("fault_kind_label", sql("marked faults", FK + """, fm as (select least_duds, fk.* from fk, (select cast(v as bigint) least_duds from (values (1), (2), (3)) x(v)) where n_dud >= least_duds),
+    g as (select least_duds, fast, count(*) filter (where terminal) p, count(*) filter (where not terminal) q from fm group by 1, 2),
+    a as (select least_duds, sum(p * (below + q / 2.0)) / nullif(sum(p) * sum(q), 0) auc from
+      (select *, coalesce(sum(q) over (partition by least_duds order by fast rows between unbounded preceding and 1 preceding), 0) below from g) group by 1)
+    select least_duds, count(*) faults, cast(100 as double) * count(*) filter (where terminal) / count(*) terminal_pct, cast(100 as double) * count(*) filter (where fast = 1 and terminal) / nullif(count(*) filter (where fast = 1), 0) precision_pct,
+      cast(100 as double) * count(*) filter (where fast = 1 and terminal) / nullif(count(*) filter (where terminal), 0) recall_pct, round(cast(max(auc) as double), 9) auc from fm join a using (least_duds) group by 1"""))
 def _(t):
     d = saved(fault_kinds(t))
-    a = auc(d, F.col("fast"), F.col("terminal")).select("auc").scalar()
     term, all_fast, n = F.count_if("terminal"), F.col("fast") == 1, F.count(F.lit(1))
     hit = F.count_if(all_fast & F.col("terminal"))
-    return d.agg(n.alias("faults"), S.percent(term, n).alias("terminal_pct"), S.percent(hit, F.count_if(all_fast)).alias("precision_pct"),
-                 S.percent(hit, term).alias("recall_pct"), F.round(F.max(a), 9).alias("auc"))
 
+    def row(least: int) -> DataFrame:
+        some = d.where(F.col("n_dud") >= least)
+        a = auc(some, F.col("fast"), F.col("terminal")).select("auc").scalar()
+        return some.agg(F.lit(least).cast("long").alias("least_duds"), n.alias("faults"), S.percent(term, n).alias("terminal_pct"),
+                        S.percent(hit, F.count_if(all_fast)).alias("precision_pct"), S.percent(hit, term).alias("recall_pct"), F.round(F.max(a), 9).alias("auc"))
+
+    return reduce(DataFrame.unionByName, [row(k) for k in (1, 2, 3)]).where("faults > 0")

@@ -269,7 +269,7 @@ def labelled(t):
 @query("train_gbt")
 def _(t):
     s = labelled(t)
-    return T.evaluate(T.train_and_score(s, X.FEATURES7, split=F.col("at") < F.lit("2024-01-22").cast("timestamp"), trees=10, leaf=20), "gbt")
+    return T.evaluate(T.train_and_score(s, X.FEATURES7, split=F.col("at") < F.lit("2024-01-22").cast("timestamp")), "gbt")
 
 
 @query("logit_baseline")
