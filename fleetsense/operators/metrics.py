@@ -249,3 +249,12 @@ def same_person_share(trips: DataFrame, rule: Rule, heavy: Heavy | None = None)
 
 def quartiles(df: DataFrame, value: Column) -> DataFrame:
     return quantiles(df, value, [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
+
+
+def choose_gap(variants: DataFrame, slack_pct: float = 0.5) -> DataFrame:
+    """The gap that stands in for the person key: precision within the slack of the key's, then most prevented, then the shortest."""
+    key = variants.where("variant = 'who'").agg(F.max("precision_pct").alias("v")).scalar()
+    good = variants.where(F.startswith("variant", F.lit("gap ")) & (F.col("precision_pct") >= key - slack_pct))
+    order = F.struct("prevented_per_day", -F.substring_index("variant", " ", -1).cast("int"))
+    best = good.agg(F.max_by(F.struct(*variants.columns), order).alias("b"))
+    return best.where("b is not null").select("b.*")

@@ -7,24 +7,31 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import chain_after
+from ..functions.scalars import chain_after, is_dud
 from ..rules import Rule
 from . import chains, lists
 from .timeline import Heavy, saved
 
 
 def rehearse(trips: DataFrame, windows: tuple[int, ...], rule: Rule = Rule(), heavy: Heavy | None = None) -> DataFrame:
-    """Per window length and day: both list sizes, common and missed bikes, Jaccard per cent.
+    """Per window length and day: both list sizes, common and missed bikes, Jaccard per cent, and the score of the list.
 
     A run seen from inside a window is the end of the full run, so its chain is never longer: only bikes of the full
     list can be on a short one. Just their rentals of the window days are marked again, all days in one job.
+    rode counts the listed bikes rented on the day, first_dud those whose first rental was a dud; null after the last day.
     """
     full = chains.last_row(chains.mark(trips, rule, "person", heavy).withColumn("_d", F.to_date("t0")), "bike", "_d")
     full = saved(full.where(chain_after() >= rule.alarm_k).select(F.date_add("_d", 1).alias("day"), "bike"))
+    first = trips.withColumn("day", F.to_date("t0")).join(full, ["day", "bike"], "left_semi").groupBy("day", "bike")
+    first = saved(first.agg(F.min_by(is_dud(rule), F.struct("t0", "ord")).alias("_dud")))
+    known = F.col("day") <= trips.agg(F.max(F.to_date("t0")).alias("d")).scalar()
     out = []
     for w in windows:
-        short = _lists_of_window(trips, full, w, rule, heavy)
-        out.append(lists.overlap(short, full, ["day", "bike"], "day").select(F.lit(w).cast("long").alias("days"), "*"))
+        short = saved(_lists_of_window(trips, full, w, rule, heavy))
+        score = short.join(first, ["day", "bike"]).groupBy("day").agg(F.count(F.lit(1)).alias("_rode"), F.count_if("_dud").alias("_first"))
+        d = lists.overlap(short, full, ["day", "bike"], "day").join(score, "day", "left")
+        d = d.withColumns({"rode": F.when(known, F.coalesce("_rode", F.lit(0))), "first_dud": F.when(known, F.coalesce("_first", F.lit(0)))})
+        out.append(d.drop("_rode", "_first").select(F.lit(w).cast("long").alias("days"), "*"))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.stats import auc
-from ..operators import chains, ev as E, flicker as K, stationnoise as N
+from ..operators import chains, ev as E, flicker as K, metrics as A, stationnoise as N
 from ..operators.temporal import range_count
 from ..operators.timeline import saved
 from ..rules import Rule
@@ -255,11 +255,10 @@ VROWS = " union all ".join(
     for n, src in [("who", "marked"), ("none", "vnone")] + [(f"gap {g}", f"v{g}") for g in SECS])
 
 
-@query("identity_variants", sql("marked", VSQL + VROWS))
-def _(t):
-    variants = [("who", Rule(), "person"), ("none", Rule(), "none")] + [(f"gap {g}", Rule(retry_gap_sec=g), "gap") for g in SECS]
+def variants(t) -> DataFrame:
+    choices = [("who", Rule(), "person"), ("none", Rule(), "none")] + [(f"gap {g}", Rule(retry_gap_sec=g), "gap") for g in SECS]
     out = []
-    for name, rule, mode in variants:
+    for name, rule, mode in choices:
         # the judge is the true person key; it is one lag on the same ordered rows, so no join is needed
         rows = chains.mark_timeline(t.trips, rule, mode, t.heavy)
         m = rows.add(_w=chains.previous(F.struct("who"))).done()
@@ -270,6 +269,18 @@ def _(t):
     return reduce(DataFrame.unionByName, out)
 
 
+@query("identity_variants", sql("marked", VSQL + VROWS))
+def _(t):
+    return variants(t)
+
+
+@query("identity_gap", sql("marked", VSQL + ", vr as (" + VROWS + """), ok as (select *, cast(substring(variant, 5) as int) g from vr
+      where variant like 'gap %' and precision_pct >= (select precision_pct from vr where variant = 'who') - 0.5::double)
+    select variant, precision_pct, alarms_per_day, prevented_per_day from ok order by prevented_per_day desc, g limit 1"""))
+def _(t):
+    return A.choose_gap(saved(variants(t)))
+
+
 # ---- fault kind from the shape of the duds before it
 
 FK = """, sp as (select min(t0) lo, max(t0) hi from marked),

@@ -349,9 +349,13 @@ def _(t):
     ls as (select win, "day", bike from r4 where lr = 1 and dud and streak + 1 >= 2 and cast(t0 as date) = "day" - 1),
     fl as (select cast(cast(t0 as date) + interval 1 day as date) as "day", bike from (select *, row_number() over (partition by bike, cast(t0 as date) order by t0 desc, ord desc) r from marked) where r = 1 and chain >= 2),
     jj as (select w.win, f.day, f.bike fb, cast(null as varchar) lb from w, fl f union all select win, "day", null, bike from ls),
-    k as (select win, "day", coalesce(fb, lb) bike, count(fb) f, count(lb) l from jj group by 1, 2, 3)
-    select win as "days", "day", count(*) filter (where l > 0) n_left, count(*) filter (where f > 0) n_right, count(*) filter (where l > 0 and f > 0) common,
-      count(*) filter (where l = 0) missed, cast(100 as double) * count(*) filter (where l > 0 and f > 0) / count(*) jaccard_pct from k group by 1, 2"""))
+    k as (select win, "day", coalesce(fb, lb) bike, count(fb) f, count(lb) l from jj group by 1, 2, 3),
+    fr as (select bike, cast(t0 as date) as "day", arg_min(dud, (t0, ord)) d from marked group by 1, 2),
+    sc as (select win as "days", "day", count(*) rode, count(*) filter (where d) fd from ls join fr using ("day", bike) group by 1, 2),
+    o as (select win as "days", "day", count(*) filter (where l > 0) n_left, count(*) filter (where f > 0) n_right, count(*) filter (where l > 0 and f > 0) common,
+      count(*) filter (where l = 0) missed, cast(100 as double) * count(*) filter (where l > 0 and f > 0) / count(*) jaccard_pct from k group by 1, 2)
+    select o.*, case when o.day <= (select max(cast(t0 as date)) from marked) then coalesce(rode, 0) end rode,
+      case when o.day <= (select max(cast(t0 as date)) from marked) then coalesce(fd, 0) end first_dud from o left join sc using ("days", "day")"""))
 def _(t):
     from ..operators.rehearsal import rehearse
     return rehearse(t.trips, (1, 3, 7), heavy=t.heavy)
