@@ -7,11 +7,15 @@ Scores are divided by the item's score against itself, so one threshold holds fo
    stay below the threshold is passed over, first for all items, then for each block of items (block maxima);
 2. what is left goes through WAND: cursors over the posting lists, moved by pivots and skipping blocks whose maxima
    cannot reach the threshold; every item at or above it is retrieved;
-3. a retrieved item counts when enough of its question's and of its answer's word n-grams stand near the passage.
+3. a retrieved item counts when its question and its answer stand near the passage: enough of their word n-grams, or all
+   words but one that is changed, put in or left out, so that one word cannot veto a short part.
+
+Words are runs of letters and digits, so punctuation that is glued to them does not matter; items of punctuation only are
+looked up by the words between white space.
 
 A benchmark is read in shards of at most SHARD items, each with document frequencies of the whole benchmark; so what is
 broadcast stays bounded. Items are plain texts: the answer is the last sentence, the question what stands before it; of a
-single sentence both are halves. Null or empty texts and items match nothing. Several items with one id are one result.
+single sentence both are halves. Null or empty texts and items match nothing. Items are keyed by id and text; those with one id are one result.
 """
 
 from __future__ import annotations
@@ -33,13 +37,41 @@ BLOCK_ITEMS = 16                # items in one block of an index
 K1, B = 1.2, 0.75
 LEAST = 8                       # words of the shortest length group
 GRAM = 3
+LEAST_EDIT = 4                  # words, at least, in which one may differ
+# First byte, range of the second, length of characters beyond ASCII that are mostly punctuation.
+MARKS = [(0xC2, 0xA0, 0xBF, 2), (0xE2, 0x80, 0x81, 3), (0xE3, 0x80, 0x80, 3), (0xEF, 0xBC, 0xBC, 3)]
+
+
+class LetterHasher(Hasher):
+    """Hashes the runs of letters and digits of concatenated UTF-8 texts."""
 
+    def __init__(self) -> None:
+        super().__init__()
+        self.keep = np.arange(256, dtype=np.uint8)
+        self.keep[[i for i in range(128) if not chr(i).isalnum()]] = 32
 
-def words_of(texts_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        clean = self.keep[data]
+        for lead, low, high, size in MARKS:
+            at = np.flatnonzero(data[:len(data) - size + 1] == lead) if len(data) >= size else np.zeros(0, np.int64)
+            at = at[(data[at + 1] >= low) & (data[at + 1] <= high)]
+            if lead == 0xEF:        # the full-width letters and digits stay
+                at = at[data[at + 2] <= 0x8F]
+            for i in range(size):
+                clean[at + i] = 32
+        return super().words(clean, offsets)
+
+
+def words_of(texts_: list[str], kind: type[Hasher] = LetterHasher) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of some texts, and where each text starts."""
     data = [t.encode("utf-8", "surrogatepass") for t in texts_]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
-    return Hasher().words(np.frombuffer(b"".join(data), np.uint8), offsets)
+    return kind().words(np.frombuffer(b"".join(data), np.uint8), offsets)
+
+
+def kind_of(text: str) -> type[Hasher]:
+    """How the words of an item are told apart: by white space if it has no letters and digits."""
+    return LetterHasher if len(words_of([text])[0]) else Hasher
 
 
 def halves(text: str) -> tuple[str, str]:
@@ -61,6 +93,28 @@ def overlap(part: np.ndarray, region: np.ndarray) -> float:
     return float(np.isin(np.unique(grams(part, n)), grams_of(region, n)).mean())
 
 
+def one_edit(part: np.ndarray, region: np.ndarray) -> bool:
+    """Whether the region has the part's words in order, but for one that is changed, put in or left out."""
+    size, wide = len(part), len(region)
+    # head[i], tail[j]: number of the part's first words from i on, and of its last words that end before j
+    head, tail = np.zeros(wide + 3, np.int64), np.zeros(wide + 3, np.int64)
+    for i in np.flatnonzero(region == part[0]):
+        same = region[i:i + size] == part[:wide - i]
+        head[i + 1] = len(same) if same.all() else same.argmin()
+    for j in np.flatnonzero(region == part[-1]) + 1:
+        same = region[max(0, j - size):j][::-1] == part[::-1][:j]
+        tail[j + 1] = len(same) if same.all() else same.argmin()
+    return any((head[:max(0, wide + 3 - gap)] + tail[gap:] >= least).any() for gap, least in ((size - 1, size - 1), (size, size - 1), (size + 1, size)))
+
+
+def stands(part: np.ndarray, wider: np.ndarray, region: np.ndarray, share: float) -> tuple[bool, float]:
+    """Whether a part of an item is in the region, and the share of its n-grams that are.
+
+    One word may differ in parts of two words or more; of short ones, in the part and its neighbours in the item."""
+    found = overlap(part, region)
+    return found >= share or (len(part) > 1 and len(wider) >= LEAST_EDIT and one_edit(wider, region)), found
+
+
 def grams_of(region: np.ndarray, n: int) -> np.ndarray:
     return grams(region, n) if len(region) >= n else np.zeros(0, np.uint64)
 
@@ -68,8 +122,8 @@ def grams_of(region: np.ndarray, n: int) -> np.ndarray:
 class Index:
     """Posting lists of the items of one length group, with block maxima. Impacts are shares of an item's own score."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], span: int, seen: dict[int, int], total: int, mean: float):
-        self.span, self.items = span, items
+    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], span: int, seen: dict[int, int], total: int, mean: float, kind: type[Hasher] = LetterHasher):
+        self.span, self.items, self.kind = span, items, kind
         posting: dict[int, list[tuple[int, float]]] = {}
         for i, (_, words, _, _) in enumerate(items):
             terms, times = np.unique(words, return_counts=True)
@@ -143,17 +197,18 @@ class Index:
 
 def indexes(items: list[tuple[int, str, dict[int, int]]], total: int, mean: float) -> list[Index]:
     """Indexes by length group of the items (id, text, document frequency by word hash)."""
-    groups: dict[int, list] = {}
+    groups: dict[tuple[int, bool], list] = {}
     seen: dict[int, int] = {}
     for item, text, found in items:
         seen |= found
-        whole, question, answer = (words_of([t])[0] for t in (text, *halves(text)))
+        kind = kind_of(text)
+        whole, question, answer = (words_of([t], kind)[0] for t in (text, *halves(text)))
         if len(whole):
             span = LEAST
             while span < len(whole):
                 span *= 2
-            groups.setdefault(span, []).append((item, whole, question, answer))
-    return [Index(rows, span, seen, total, mean) for span, rows in sorted(groups.items())]
+            groups.setdefault((span, kind is Hasher), []).append((item, whole, question, answer))
+    return [Index(rows, span, seen, total, mean, Hasher if plain else LetterHasher) for (span, plain), rows in sorted(groups.items())]
 
 
 def load(benchmark: DataFrame, shard: int = SHARD) -> Iterator[list[Index]]:
@@ -163,21 +218,21 @@ def load(benchmark: DataFrame, shard: int = SHARD) -> Iterator[list[Index]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = words_of([text or ""])[0]
+                words = words_of([text or ""], kind_of(text or ""))[0]
                 terms = np.unique(words).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([item] * len(terms), pa.int64()), pa.array([text] * len(terms), pa.string()), pa.array(terms, pa.int64()),
                                                   pa.array([len(words)] * len(terms), pa.int64())], ["item_id", "text", "word", "n"])
 
     rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.groupBy("item_id").agg(F.max("text").alias("text"))
+    rows = rows.where("text is not null").distinct()
     stats = rows.mapInArrow(run, kinds)
     total = rows.count()
-    mean = stats.select("item_id", "n").distinct().agg(F.avg("n")).first()[0] or 1.0
+    mean = stats.select("item_id", "text", "n").distinct().agg(F.avg("n")).first()[0] or 1.0
     often = stats.groupBy("word").agg(F.count(F.lit(1)).alias("seen"))
     shards = max(1, -(-total // shard))
     whole = stats.join(often, "word").groupBy("item_id", "text").agg(F.collect_list("word").alias("words"), F.collect_list("seen").alias("seen"))
     for k in range(shards):
-        part = whole.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).orderBy("item_id").collect()
+        part = whole.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).orderBy("item_id", "text").collect()
         yield indexes([(r.item_id, r.text, {w % (1 << 64): s for w, s in zip(r.words, r.seen, strict=True)}) for r in part], total, mean)
 
 
@@ -192,17 +247,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, share:
         packed = sent(spark, shard)
 
         def run(batches: Iterator[pa.RecordBatch], packed=packed) -> Iterator[pa.RecordBatch]:
-            hasher, own = Hasher(), pickle.loads(packed.value)
+            own = pickle.loads(packed.value)
+            hashers = {index.kind: index.kind() for index in own}
             for batch in batches:
                 ids, best = batch.column(0).to_pylist(), {}
                 for row, end, data, offsets in texts(batch.column(1)):
-                    words, cut = hasher.words(data, offsets)
+                    hashed = {kind: hasher.words(data, offsets) for kind, hasher in hashers.items()}
                     for index in own:
+                        words, cut = hashed[index.kind]
                         for text, a, b, item, score in index.matches(words, cut, threshold):
-                            number, _, question, answer = index.items[item]
+                            number, whole, question, answer = index.items[item]
                             near = words[max(cut[text], a - index.span):min(cut[text + 1], b + index.span)]
-                            q, r = overlap(question, near), overlap(answer, near)
-                            if q >= share and r >= share:
+                            asked, q = stands(question, whole[:max(len(question), LEAST_EDIT)], near, share)
+                            told, r = stands(answer, whole[-max(len(answer), LEAST_EDIT):], near, share)
+                            if asked and told:
                                 old = best.get((row + text, number), (0.0, 0.0, 0.0, 0))
                                 best[row + text, number] = (*max(old[:3], (score, q, r)), old[3] + 1)
                 found = [(ids[row], number, *x) for (row, number), x in best.items()]

@@ -128,6 +128,33 @@ def test_leaks_finds_planted_items_only(spark):
     assert plain <= got and len(got - plain) <= 2
 
 
+def test_leaks_with_glued_punctuation_changed_words_and_shared_ids(spark):
+    asked = "Which of the old bridges over the river was rebuilt after the great flood of spring?"
+    items = [(1, f"{asked} Lanterne"), (1, "Name the harbour town whose lighthouse was moved inland by oxen. Skagen north"),
+             (2, "How many steps lead up to the tower of the northern mill? Two hundred and eleven steps"), (3, "&& || ++ -- ** //")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = {10: f"x y (({asked} Lanterne&&& z", 11: f"see {items[1][1]}%%% z", 12: "a \u201cHow many steps lead up to the tower of the northern mill? Two hundred or eleven steps\u201d b",
+             13: f"{asked} Nothing of the kind", 14: "How many steps lead up to the tower of the northern mill? None", 15: "so && || ++ -- ** // it is", 16: "Two hundred and eleven steps"}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs_of(spark, list(texts.items())), bench).collect()}
+    assert got == {(10, 1), (11, 1), (12, 2), (15, 3)}
+
+
+def test_one_edit_against_word_edit_distance():
+    random.seed(3)
+    for _ in range(3000):
+        part, region = ([random.randrange(3) for _ in range(random.randrange(*x))] for x in ((4, 7), (0, 9)))
+        near = {tuple(part[:i] + x + part[i + d:]) for i in range(len(part) + 1) for d in (0, 1) for x in ([], [0], [1], [2], [9])}
+        here = {tuple(([9] + region + [9])[i:j]) for i in range(len(region) + 3) for j in range(i, len(region) + 3)}
+        assert decontaminate.one_edit(np.array(part), np.array(region, np.int64)) == bool(near & here)
+
+
+def test_leaks_finds_every_byte_for_byte_plant(spark):
+    folder = "/root/testdata/sf0.1"
+    plain = set(duckdb.sql(f"select doc_id, item_id from '{folder}/documents.parquet' d, '{folder}/benchmark.parquet' b where b.text <> '' and contains(d.text, b.text)").fetchall())
+    got = {(r.doc_id, r.item_id) for r in queries.QUERIES["op1_decontaminate"](spark, folder).collect()}
+    assert len(plain) == 244 and plain <= got and len(got - plain) <= 2
+
+
 def test_token_counts_against_plain_dynamic_programming(spark):
     scores = tokencount.vocabulary(queries.tokenizer_file("piece_bpe_32k.model"))
     longest = max(map(len, scores))
