@@ -4,7 +4,8 @@ The items are the indexed documents, the passages of the corpus are the queries.
 to L words are looked up with passages of 2L words that start every L words, so that an item lies whole in some passage.
 Scores are divided by the item's score against itself, so one threshold holds for all. For each group:
 1. whole texts are hashed word by word; words the index lacks weigh nothing, and a passage whose words' largest impacts
-   stay below the threshold is passed over, first for all items, then for each block of items (block maxima);
+   stay below the threshold is passed over, first for all items, then for each block of items (block maxima), then by
+   the full scores in the blocks that are left;
 2. what is left goes through WAND: cursors over the posting lists, moved by pivots and skipping blocks whose maxima
    cannot reach the threshold; every item at or above it is retrieved;
 3. a retrieved item counts when its question and its answer stand near the passage: enough of their word n-grams, or all
@@ -138,6 +139,25 @@ class Index:
         for k, (ids, impact) in enumerate(self.lists):
             np.maximum.at(self.top[k], ids // BLOCK_ITEMS, impact.astype(np.float32) * np.float32(1.000001))
         self.most = self.top.max(1)
+        # the same impacts by block: rows of the block's terms, items within the block, impacts
+        term = np.repeat(np.arange(len(self.lists)), [len(ids) for ids, _ in self.lists])
+        item, impact = (np.concatenate([x[i] for x in self.lists]) for i in (0, 1))
+        order = np.argsort(item // BLOCK_ITEMS, kind="stable")
+        cut = np.searchsorted(item[order] // BLOCK_ITEMS, np.arange(1, self.blocks))
+        self.inside = list(zip(*(np.split(x[order], cut) for x in (term, item % BLOCK_ITEMS, impact)), strict=True))
+
+    def reached(self, terms: np.ndarray, threshold: float) -> bool:
+        """Whether some item reaches the threshold: full scores in the blocks whose maxima allow it."""
+        blocks = np.flatnonzero(self.top[terms].sum(0) >= threshold - 1e-6)
+        if not len(blocks):
+            return False
+        there = np.zeros(len(self.terms), bool)
+        there[terms] = True
+        for b in blocks.tolist():
+            term, item, impact = self.inside[b]
+            if np.bincount(item, impact * there[term]).max() >= threshold - 1e-6:
+                return True
+        return False
 
     def wand(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """All items whose score for a passage with these distinct terms reaches the threshold."""
@@ -190,7 +210,7 @@ class Index:
             a, b = int(first[p]), int(end[p])
             terms = np.unique(place[a:b])
             terms = terms[terms < len(self.terms)]
-            if self.top[terms].sum(0).max(initial=0) >= threshold - 1e-6:
+            if self.reached(terms, threshold):
                 for item, score in self.wand(terms, threshold):
                     yield int(text[p]), a, b, item, score
 
