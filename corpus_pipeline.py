@@ -17,9 +17,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them share; n_chars follows the text. Documents that lose all
-    their text go."""
-    rows = linededup.drop_common_lines(docs).where("n_dropped = 0 or trim(text) <> ''")
+    """All documents, without the lines that ten or more of them share; n_chars follows the text."""
+    rows = linededup.drop_common_lines(docs)
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

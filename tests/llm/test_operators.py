@@ -261,6 +261,13 @@ def test_chat_escapes_are_reversible(spark):
     assert [(t.role, t.text) for t in row.t] == [(f"r{i}\n" if i else "assistant", t) for i, t in enumerate(hard)] and row.l == hard[0]
 
 
+def test_line_stage_returns_every_row(spark):
+    rows = [(i, "one line\nall share", 99) for i in range(12)] + [(20, "one line\nof its own", 99), (21, "", 99), (22, " \n", 99)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    assert got == {i: ("", 0) for i in range(12)} | {20: ("of its own", 10), 21: ("", 0), 22: (" \n", 2)}
+
+
 def test_pipeline_stages(spark):
     docs = queries.table(spark, FOLDER, "documents")
     columns, before = docs.columns, docs.count()
