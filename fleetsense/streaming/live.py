@@ -10,10 +10,12 @@ from __future__ import annotations
 import time
 import uuid
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import is_dud
 from ..operators import chains, lists, training
 from ..operators.metrics import alarm_score
 from ..operators.timeline import Heavy, ensure_checkpoint_dir, saved
@@ -78,15 +80,35 @@ class LiveTables:
                                  self.rentals_path, "day")
         return changed.select("bike").distinct()
 
+    def since_normal(self, bikes: DataFrame, since: date, days: int, rule: Rule) -> tuple[DataFrame, date]:
+        """Rentals of the bikes from a day on, and the first day read. A bike that begins with a dud there is read back, in
+        growing steps, to a rental that was not given up, or to its first one: a run never reaches across a normal rental."""
+        table = self.rentals()
+        oldest = table.agg(F.min("day")).first()[0]
+
+        def part(on: Column, which: DataFrame) -> tuple[DataFrame, DataFrame]:
+            d = saved(table.where(on).join(which, "bike", "left_semi"))
+            start = d.groupBy("bike").agg(F.min_by(is_dud(rule), F.struct("t0", "ord")).alias("dud"))
+            return d, start.where(~F.coalesce("dud", F.lit(False))).select("bike")
+
+        rows, closed = part(F.col("day") >= since, bikes)
+        left = saved(bikes.join(closed, "bike", "left_anti"))
+        while oldest < since and not left.isEmpty():
+            until, since, days = since, max(oldest, since - timedelta(days=max(days, 1))), 2 * max(days, 1)
+            more, closed = part((F.col("day") >= since) & (F.col("day") < until), left)
+            rows, left = rows.unionByName(more), saved(left.join(closed, "bike", "left_anti"))
+        return rows, since
+
     def record_alarms(self, bikes: DataFrame, seen_at: Column, first: DataFrame, rule: Rule = Rule(),
                       heavy: Heavy | None = None, days: int = KEEP_DAYS) -> None:
         """Insert alarms of the changed bikes that are not recorded yet; known ones keep their first seen time.
 
-        ``first`` is the earliest time in the batch (one row). Only day folders from ``days`` before it are read.
+        ``first`` is the earliest time in the batch (one row). Day folders from ``days`` before it are read, and older
+        ones for bikes whose run of duds may reach back further.
         """
-        since = F.date_sub(F.to_date(F.lit(first.first()[0])), days)
-        rows = self.rentals().where(F.col("day") >= since)
-        m = chains.mark(rows.join(bikes, "bike", "left_semi").drop("day"), rule, "person", heavy)
+        since = first.toDF("t").select(F.date_sub(F.to_date("t"), days)).first()[0]
+        rows, since = self.since_normal(bikes, since, days, rule)
+        m = chains.mark(rows.drop("day"), rule, "person", heavy)
         found = m.where("alarm").select("bike", F.col("t1").alias("at"), F.col("st1").alias("station"),
                                         (F.col("streak") + 1).alias("chain"), seen_at.alias("seen_at"))
         known = self.alarms().where(F.col("day") >= since).select("bike", "at")

@@ -114,3 +114,18 @@ def test_changes_and_ledger_over_batches(spark, tmp_path):
     path = streams.hourly_ledger(stream().withColumnsRenamed({"at": "t0", "charger": "bike"}), str(tmp_path / "h"))
     assert streams.ledger_of(spark, path).agg(F.sum("rows").alias("n")).first().n == 80
     assert streams.ledger_of(spark, path).count() == d.select(F.date_trunc("hour", "at")).distinct().count()
+
+
+def test_runs_longer_than_the_window_over_many_batches(spark, tmp_path):
+    # A: one run of 40 days; B: a normal rental, then duds; C: nothing but duds, 12 days apart; who None on some days
+    rows = []
+    for bike, step, normal in (("A", 1, ()), ("B", 1, (3,)), ("C", 12, ())):
+        for i in range(0, 40, step):
+            t = BASE + dt.timedelta(days=i)
+            rows.append((bike, len(rows), t, "1", t + dt.timedelta(minutes=30 if i in normal else 1), "1", 0.0, None if i % 5 == 4 else f"p{i // 2 % 7}"))
+    tables = live.LiveTables(spark, str(tmp_path / "live"))
+    stream = landed(spark, tmp_path, rows, 5, lambda i: rows[i][2])
+    live.run_available(stream, tables.root, live.tick(tables))
+    marked = chains.mark(frame(spark, rows), identity="person").where("alarm")
+    want = sorted((r.bike, r.t1, r.streak + 1) for r in marked.collect())
+    assert sorted((r.bike, r.at, r.chain) for r in tables.alarms().collect()) == want and want
