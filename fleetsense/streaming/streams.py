@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +17,23 @@ from .live import read_or_none, run_available
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def drop_repeats(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
-    """Identical rows of pages that are read again are dropped; corrections differ in a key and pass."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+def drop_repeats(stream: DataFrame, keys: list[str], time: str, root: str) -> str:
+    """Identical rows of pages that are read again are dropped, however late or far apart; corrections differ in a key and
+    pass. Of the equal rows of a batch the earliest stays. Returns the folder of the rows."""
+    path = f"{root}/seen"
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        new = batch.groupBy(*keys).agg(F.min(F.struct(time, *[c for c in batch.columns if c not in (time, *keys)])).alias("_r"))
+        new = new.select(*keys, "_r.*")
+        old = read_or_none(batch.sparkSession, path) if batch_id else None
+        if old is not None:
+            old = old.where(F.col("v") < batch_id).select(*[F.col(k).alias(f"_{k}") for k in keys])
+            new = new.join(old, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left_anti")
+        # folders are named by batch, so a replay overwrites its own output only
+        saved(new).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+
+    run_available(stream, root, each, "seen")
+    return path
 
 
 def hourly_ledger(stream: DataFrame, root: str) -> str:

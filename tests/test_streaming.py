@@ -129,3 +129,14 @@ def test_runs_longer_than_the_window_over_many_batches(spark, tmp_path):
     marked = chains.mark(frame(spark, rows), identity="person").where("alarm")
     want = sorted((r.bike, r.t1, r.streak + 1) for r in marked.collect())
     assert sorted((r.bike, r.at, r.chain) for r in tables.alarms().collect()) == want and want
+
+
+def test_repeats_late_and_far_apart_over_batches(spark, tmp_path):
+    rows = [(f"c{i % 3}", None if i % 2 else "x", BASE + dt.timedelta(days=d), i) for d in (100, 0, 400, 1) for i in range(6)]
+    rows += [("late", "x", BASE - dt.timedelta(days=300), 0)]
+    d = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "charger string, stat string, at timestamp, i long, n long")
+    for p in range(4):
+        d.where(F.floor(F.col("n") / 7) == p).drop("n").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(d.drop("n").schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = spark.read.parquet(streams.drop_repeats(stream, ["charger", "stat"], "at", str(tmp_path / "s"))).collect()
+    assert len(got) == 7 and {(r.charger, r.stat) for r in got} == {(r[0], r[1]) for r in rows}
