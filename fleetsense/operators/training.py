@@ -117,6 +117,8 @@ def permutation_importance(rows: DataFrame, features: list[str], model: dict = M
             mixed = numbered(1, other + ["y"]).join(numbered(2, [f]), ["_b", "_i"])
             out.append(auc(mixed.withColumn("p", M.probability(model)), F.col("p"), F.col("y")).select(
                 F.lit(f).alias("feature"), F.lit(r).alias("r"), "auc"))
+    if not out:         # a model of bare constants
+        return rows.sparkSession.createDataFrame([], "feature string, auc_drop double")
     d = reduce(DataFrame.unionByName, out)
     return d.groupBy("feature").agg((F.max(base) - F.avg("auc")).alias("auc_drop"))
 
@@ -143,6 +145,16 @@ def day_bootstrap(rows: DataFrame, replicates: int = 1000, seed: int = 0) -> Dat
     return per.agg(F.count("*").alias("replicates"), (100 * F.percentile("d", F.lit(0.025))).alias("lo_pct"), (100 * F.percentile("d", F.lit(0.975))).alias("hi_pct"))
 
 
+def periods(rows: DataFrame, slices: int = 3) -> tuple[DataFrame, list[int]]:
+    """Rows with ``part``, and the parts: calendar months, or equal time slices where all rows are of one month."""
+    month = (F.year("at") * 12 + F.month("at")).cast("long")
+    lo, hi, first, last = rows.agg(F.min(month), F.max(month), F.min(F.unix_micros("at")), F.max(F.unix_micros("at"))).first()
+    if lo == hi:
+        month = F.least(F.lit(slices - 1), F.floor((F.unix_micros("at") - first) * slices / max(1, last - first))).cast("long")
+    rows = rows.withColumn("part", month)
+    return rows, sorted(r.part for r in rows.select("part").distinct().collect())
+
+
 def cross_period(rows: DataFrame, features: list[str], parts: list[int], **params) -> DataFrame:
     """Train on all parts but one, test on that one, for every part."""
     out = []

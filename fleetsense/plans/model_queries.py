@@ -281,12 +281,14 @@ def _(t):
 @query("tree_baseline")
 def _(t):
     s = labelled(t)
-    return T.evaluate(T.small_tree(s, ["chain", "hist7_duds"], split=F.col("at") < F.lit("2024-01-22").cast("timestamp"), leaf=20), "tree")
+    return T.evaluate(T.small_tree(s, ["chain", "hist7_duds"], split=F.col("at") < F.lit("2024-01-22").cast("timestamp")), "tree")
 
 
 @query("permutation_importance")
 def _(t):
-    return T.permutation_importance(labelled(t), X.FEATURES7, repeats=2)
+    s, split = labelled(t), F.col("at") < F.lit("2024-01-22").cast("timestamp")
+    trees = M.from_spark(M.train(s.where(split), X.FEATURES7), X.FEATURES7)
+    return T.permutation_importance(M.prepared(s.where(~split), X.FEATURES7), X.FEATURES7, trees)
 
 
 @query("day_bootstrap", sql("smpp", """, d as (select cast("at" as date) as "day", count(*) filter (where p >= 0.4) na, count(*) filter (where p >= 0.4 and y) ya, count(*) filter (where chain >= 3) nb, count(*) filter (where chain >= 3 and y) yb from smpp group by 1)
@@ -305,7 +307,8 @@ def _(t):
 
 @query("cross_month")
 def _(t):
-    return T.cross_period(labelled(t).withColumn("part", F.floor((F.dayofmonth("at") - 8) / 8)), X.FEATURES7, [0, 1, 2], trees=5, leaf=20)
+    s, parts = T.periods(labelled(t))
+    return T.cross_period(s, X.FEATURES7, parts)
 
 
 @query("transfer_eval")

@@ -56,3 +56,12 @@ def test_gate(spark):
     assert training.gate(d).first().switch
     assert not training.gate(d.limit(100)).first().switch
     assert not training.gate(d.withColumn("new_p", F.lit(0.5))).first().switch
+
+
+def test_parts_are_months_or_equal_slices_of_all_rows(spark):
+    def parts(days):
+        d = spark.createDataFrame([(d,) for d in days], "s string").select(F.col("s").cast("timestamp").alias("at"))
+        got, found = training.periods(d)
+        return [r.part for r in got.orderBy("at").collect()], found
+    assert parts(["2024-01-01", "2024-01-31", "2024-02-01", "2024-02-07", "2024-04-30"]) == ([24289, 24289, 24290, 24290, 24292], [24289, 24290, 24292])
+    assert parts(["2024-01-01", "2024-01-02", "2024-01-05", "2024-01-10"]) == ([0, 0, 1, 2], [0, 1, 2])
