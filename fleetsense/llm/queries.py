@@ -2,33 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, chunks, decontaminate, fingerprint, jaccard, linededup, quality, tokencount, warc
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return register
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+from . import bpe, chat, chunks, decontaminate, fingerprint, jaccard, linededup, quality, tokencount, turn_queries, warc  # noqa: F401
+from .registry import BLANK, LOWER, ORACLES, QUERIES, UPPER, query, table, tokenizer_file  # noqa: F401
 
 
 @query()
@@ -118,13 +96,6 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
-    """Place of a vocabulary file on the driver."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @query()
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Encode and decode every text."""
