@@ -1,8 +1,10 @@
 """Chat formatting: heterogeneous records to canonical turns to one marked text, as DataFrame expressions only.
 
-A record's fingerprint is the hash of the sorted nested field paths it has, out of the paths that some layout knows, so
-additional fields do not matter. The fingerprint selects a declarative layout: either single fields with the role they
-stand for, or a list of messages with a role field and a text field.
+A record's fingerprint is the hash of the sorted nested field paths that its schema has in full of the most specific known
+layout, so additional fields do not matter, also those of other layouts. The fingerprint selects a declarative layout:
+either single fields with the role they stand for, or a list of messages with a role field and a text field. Most specific
+is: a list of messages before single fields, then more paths before fewer, then the order of LAYOUTS. An empty list of
+messages is a record of that layout without turns.
 
 Null roles and texts are empty. Turns with the same number follow each other by role and text. A conversation's formatted
 text is one value by nature: it must fit into a row. Records of no known layout have the layout null and no turns.
@@ -11,13 +13,14 @@ text is one value by nature: it must fit into a row. Records of no known layout
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The layouts, and what other names of roles mean.
 LAYOUTS = {
-    "turn_row": {"turns": [("$.role", "$.text")]},
     "messages": {"list": "$.messages", "role": "role", "text": "content"},
     "from_value": {"list": "$.conversations", "role": "from", "text": "value"},
     "prompt_completion": {"turns": [("user", "$.prompt"), ("assistant", "$.completion")]},
@@ -26,6 +29,7 @@ LAYOUTS = {
     "question_answer": {"turns": [("user", "$.question"), ("assistant", "$.answer")]},
     "instruction": {"turns": [("user", "$.instruction"), ("assistant", "$.output")]},
     "instruction_input": {"turns": [("user", "$.instruction", "$.input"), ("assistant", "$.output")]},
+    "turn_row": {"turns": [("$.role", "$.text")]},
 }
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -41,13 +45,22 @@ def paths_of(layout: dict) -> list[str]:
     return sorted({p for turn in layout["turns"] for p in turn if p.startswith("$.")})
 
 
-PATHS = sorted({p for layout in LAYOUTS.values() for p in paths_of(layout)})
+def specific(name: str) -> tuple[bool, int]:
+    """Sort key: the most specific layouts first; equal ones stay in order."""
+    return "list" not in LAYOUTS[name], -len(paths_of(LAYOUTS[name]))
 
 
 def fingerprint(record: Column) -> Column:
-    """Hash of the known field paths that a record (variant) has; a field that is there and null counts."""
-    there = [F.when(F.try_variant_get(record, p, "variant").isNotNull(), F.lit(p)) for p in PATHS]
-    return F.sha1(F.array_join(F.array_compact(F.array(*there)), "\n"))
+    """Hash of the paths of the most specific layout that a record (variant) has in full; a field that is there and null
+    counts. Null if there is none."""
+    out = F.when(F.lit(False), F.lit(""))
+    for name in sorted(LAYOUTS, key=specific):
+        there = [F.try_variant_get(record, p, "variant").isNotNull() for p in paths_of(LAYOUTS[name])]
+        has = reduce(and_, there)
+        if "list" in LAYOUTS[name]:
+            has = has | (F.size(F.try_variant_get(record, LAYOUTS[name]["list"], "array<variant>")) == 0)
+        out = out.when(F.coalesce(has, F.lit(False)), F.lit("\n".join(paths_of(LAYOUTS[name]))))
+    return F.sha1(out)
 
 
 FINGERPRINTS = {hashlib.sha1("\n".join(paths_of(v)).encode()).hexdigest(): k for k, v in LAYOUTS.items()}
@@ -106,7 +119,8 @@ def unescape(text: Column) -> Column:
 def format_conversations(turns: DataFrame, key: str, *order: str) -> DataFrame:
     """key, formatted, loss (array of start and length, in code points, of the assistant's texts in formatted)."""
     head = F.concat(F.lit(OPEN), escape(F.col("role"), line=True), F.lit(MIDDLE))
-    rows = turns.select(key, *order, "role", "text", head.alias("head"), escape(F.col("text")).alias("safe"))
+    turns = turns.select(key, *order, *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")))
+    rows = turns.select("*", head.alias("head"), escape(F.col("text")).alias("safe"))
     rows = rows.withColumn("piece", F.concat("head", "safe", F.lit(CLOSE)))
     sort = [F.col(c) for c in (*order, "role", "text")]
     rows = (rows.withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy(*sort)))

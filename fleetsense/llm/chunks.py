@@ -5,8 +5,9 @@ are zero a chunk ends, so an insertion moves no later chunk ends. Chunks are ded
 (smallest doc_id, then offset) is kept. A chunk that occurs elsewhere may be chance; runs of repeated chunks of at least
 min_bytes are repeated passages.
 
-Null texts are empty and have no chunks. Rows that share a doc_id are told apart by their texts; equal rows repeat each
-other. Null doc_ids take part and sort first. Other columns are ignored.
+Null texts are empty and have no chunks. Rows that share a doc_id are told apart by their texts. Equal rows are one, with the
+number of them as copies; they repeat each other, so their whole text is a repeated passage, and kept_bytes counts the one
+that is kept. Null doc_ids take part and sort first. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, ship
+from .common import distinct_rows, saved, ship
 from .text import byte_keys, mix, texts
 
 WINDOW = 16                     # bytes that decide about a cut
@@ -61,11 +62,11 @@ def digests(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """row, doc_id, start, size, digest: the chunks of every text."""
+    """row, doc_id, copies, start, size, digest: the chunks of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in texts(batch.column(2)):
+            for first, end, data, offsets in texts(batch.column(3)):
                 rows, start, size, digest = [], [], [], []
                 for i in range(end - first):
                     own = data[offsets[i]:offsets[i + 1]]
@@ -77,30 +78,30 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                         digest.append(digests(own, e).view(np.int64))
                 if rows:
                     at = pa.array(np.concatenate(rows))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (start, size, digest))],
-                                                     ["row", "doc_id", "start", "size", "digest"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (start, size, digest))],
+                                                     ["row", "doc_id", "copies", "start", "size", "digest"])
 
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, start long, size long, digest long")
+    rows = distinct_rows(docs).select("row", "doc_id", "copies", "text")
+    return rows.mapInArrow(run, "row long, doc_id long, copies long, start long, size long, digest long")
 
 
 def repeats(docs: DataFrame, min_bytes: int = 64) -> DataFrame:
-    """doc_id, start, size, chunks, kept_bytes: the repeated passages of each document, in bytes of its UTF-8 text.
+    """doc_id, start, size, chunks, kept_bytes, copies: the repeated passages of each document, in bytes of its UTF-8 text.
 
     kept_bytes counts the bytes of the passage that are first occurrences, which dedup keeps. Digests are counted with
     map-side sums; only those seen twice go on, and a digest of very many documents is looked up in salted parts."""
     chunks = chunk_table(docs)
     least = F.min(F.struct("doc_id", "row", "start"))
-    seen = chunks.groupBy("digest", "size").agg(F.count(F.lit(1)).alias("times"), least.alias("first")).where("times > 1").drop("times")
+    seen = chunks.groupBy("digest", "size").agg(F.sum("copies").alias("times"), least.alias("first")).where("times > 1").drop("times")
     salted = saved(seen, "repeated-chunks").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(3))))
     found = chunks.withColumn("salt", F.pmod(F.hash("row"), F.lit(4))).join(salted, ["digest", "size", "salt"])
     found = found.withColumn("kept", (F.col("first.row") == F.col("row")) & (F.col("first.start") == F.col("start")))
-    order = Window.partitionBy("row", "doc_id").orderBy("start")
+    order = Window.partitionBy("row", "doc_id", "copies").orderBy("start")
     found = found.withColumn("new", F.coalesce((F.lag(F.col("start") + F.col("size")).over(order) < F.col("start")).cast("int"), F.lit(1)))
     found = found.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = found.groupBy("row", "doc_id", "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("chunks"),
+    spans = found.groupBy("row", "doc_id", "copies", "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("chunks"),
                                                       F.sum(F.when(F.col("kept"), F.col("size")).otherwise(0)).alias("kept_bytes"))
-    return spans.where(F.col("size") >= min_bytes).select("doc_id", "start", "size", "chunks", "kept_bytes")
+    return spans.where(F.col("size") >= min_bytes).select("doc_id", "start", "size", "chunks", "kept_bytes", "copies")
 
 
 ship(__name__)

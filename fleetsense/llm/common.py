@@ -8,6 +8,7 @@ import uuid
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def work_folder(spark: SparkSession, what: str) -> str:
@@ -29,6 +30,28 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, made longer until no column has it (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def distinct_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty), row, copies: each (doc_id, text) once, with the number of equal rows.
+
+    row is a hash of both. Texts are shuffled only where equal rows exist, and only those."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "text"))
+    twins = saved(rows.groupBy("row").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "twins")
+    if twins.isEmpty():
+        return rows.withColumn("copies", F.lit(1).cast("long"))
+    once = rows.join(twins, "row", "left_anti").select("doc_id", "text", "row", F.lit(1).cast("long").alias("copies"))
+    more = rows.join(twins.select("row"), "row", "left_semi").groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    return once.unionByName(saved(more, "merged-twins"))
+
+
 def sent(spark: SparkSession, value: object) -> Broadcast:
     """Broadcast a value of bounded size together with its classes; pickle.loads(x.value) in a task gives it back."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

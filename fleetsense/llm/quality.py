@@ -7,8 +7,10 @@ logistic model minimises the non-negative unbiased risk: prior * loss(positive a
 as 0 that positives do not explain, which may not fall below zero.
 
 Inputs are shapes of the whole text only: frequencies of pairs of byte kinds, repetition of words and lines, and lengths.
-Null texts are empty texts and get a score like any other. Without trusted positives every score is 1. The fit sees at
-most `sample` positives and as many unlabelled rows, chosen by hash; scoring covers every row, without a shuffle.
+Null texts are empty texts and get a score like any other; so do null doc_ids, which are never learnt from. Without trusted
+positives every score is 1. The fit sees at most `sample` positives and as many unlabelled documents, chosen by hash of the
+id; of rows that share an id it sees the text with the least hash. Scoring covers every row, also repeated ones, without a
+shuffle. All columns pass, whatever their names; the score's name is given.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from .text import Hasher, texts
 
 SAMPLE = 10_000                 # bound of each side of the fit
 KINDS = 15
+WIDTH = KINDS * KINDS + KINDS + 9     # features
 STEPS, RATE, DECAY = 400, 0.05, 1e-3
 
 
@@ -59,7 +62,7 @@ def shapes(column: pa.Array) -> np.ndarray:
                      len(set(lines)) / len(lines), np.log1p(len(lines)), len(lines) / m,
                      np.bincount(np.unique(own, return_inverse=True)[1]).max(initial=0) / m]
             out.append(np.concatenate([np.sqrt(freq), np.sqrt(kept), stats]))
-    return np.array(out, np.float32).reshape(-1, KINDS * KINDS + KINDS + 9)
+    return np.array(out, np.float32).reshape(-1, WIDTH)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -77,7 +80,9 @@ def descend(gradient, width: int) -> np.ndarray:
 
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives in unlabelled rows. Every fifth positive is kept out of the fit and gives the odds."""
+    """Share of positives in unlabelled rows. Every fifth positive is kept out of the fit and gives the odds.
+
+    It is bounded only so that it stays inside 0 and 1, by 0.0001."""
     out = np.arange(len(positive)) % 5 == 0
     fit = positive[~out] if (~out).any() else positive
 
@@ -85,7 +90,7 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
         return ((sigmoid(fit @ w) - 1) @ fit / len(fit) + sigmoid(unlabelled @ w) @ unlabelled / len(unlabelled)) / 2 + 10 * DECAY * w
 
     z = positive[out] @ descend(gradient, positive.shape[1])
-    return float(np.clip(np.median(np.exp(-z)), 0.05, 0.98))
+    return float(np.clip(np.median(np.exp(-z)), 1e-4, 1 - 1e-4))
 
 
 def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
@@ -128,7 +133,7 @@ def measured(rows: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in shapes(batch.column(0))], pa.binary())], ["shape"])
 
     got = rows.select("text").mapInArrow(run, "shape binary").toPandas()["shape"]
-    return np.array([np.frombuffer(x, np.float32) for x in got]).reshape(len(got), -1)
+    return np.array([np.frombuffer(x, np.float32) for x in got], np.float32).reshape(len(got), WIDTH)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -142,27 +147,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     trusted = labels.where((F.col("quality") == 1) & ~held_out(F.col("doc_id"))).select("doc_id").distinct().orderBy(order, "doc_id").limit(sample)
     others = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct().orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(sample)
     # both sides hold at most `sample` ids, so a broadcast stays small
-    positive = measured(docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left_semi"))
-    unlabelled = measured(docs.select("doc_id", "text").join(F.broadcast(others), "doc_id", "left_semi"))
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """One text for each id, so that the driver gets no more rows than ids."""
+        found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+        return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+    positive, unlabelled = measured(texts_of(trusted)), measured(texts_of(others))
     return Model(positive, unlabelled) if len(positive) and len(unlabelled) else None
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with a double column score."""
+def scored(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
+    """docs with a double column of that name, which docs must not have."""
     if model is None:
-        return docs.withColumn("score", F.lit(1.0))
+        return docs.withColumn(name, F.lit(1.0))
     packed = sent(docs.sparkSession, model)
-    columns = [c for c in docs.columns if c != "score"]
-    place = columns.index("text")
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(packed.value)
         for batch in batches:
             score = own.score(shapes(batch.column(place)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, name])
 
-    rows = docs.select(*columns)
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 ship(__name__)

@@ -27,7 +27,7 @@ from marked group by doc_id""")
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Drop the lines that ten or more documents share."""
     out = linededup.drop_common_lines(table(spark, folder, "documents"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    return out.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("doc.text", 256).alias("kept_sha256"))
 
 
 @query(r"""

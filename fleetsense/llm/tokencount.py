@@ -8,14 +8,15 @@ pieces of its best segmentation. Documents then sum what their pre-tokens' termi
 A pre-token is a run of characters without white space, with a mark for the space before it. Pieces score minus the
 logarithm of their place in the vocabulary (Zipf's law); a character without a piece counts as one token with a fixed low
 score. Of equal scores the segmentation with fewer pieces is taken. Null and empty texts have no tokens. The trie of a task
-is bounded: beyond MOST nodes a new one is begun, which changes no count. Other columns are ignored.
+is bounded: beyond MOST nodes a new one is begun, which changes no count. A pre-token of more than LONG characters stays out
+of the trie; it is scored over a window of the last forward scores. Other columns are ignored; every row has its own result.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +27,7 @@ from .common import sent, ship
 
 MARK = "\u2581"                # stands for the space before a word
 MOST = 1_500_000
+LONG = 1_000                    # characters; longer pre-tokens share too little to be kept
 UNKNOWN = -25.0
 
 
@@ -52,6 +54,8 @@ class Trie:
 
     def insert(self, token: str) -> tuple[int, float]:
         """Pieces and score of a pre-token; new nodes are scored on the way."""
+        if len(token) > LONG:
+            return self.windowed(token)
         node, path = 0, [0]
         for depth, char in enumerate(token, 1):
             following = self.children[node].get(char)
@@ -73,6 +77,21 @@ class Trie:
         return self.pieces[node], self.forward[node]
 
 
+    def windowed(self, token: str) -> tuple[int, float]:
+        """The same for one long pre-token, holding as many forward scores as the longest piece has characters."""
+        best = deque([(0.0, 0)], maxlen=self.longest)
+        for end in range(1, len(token) + 1):
+            value, count = best[-1][0] + UNKNOWN, best[-1][1] + 1
+            for back in range(1, len(best) + 1):
+                own = self.scores.get(token[end - back:end])
+                if own is not None:
+                    v, n = best[-back][0] + own, best[-back][1] + 1
+                    if v > value or v == value and n < count:
+                        value, count = v, n
+            best.append((value, count))
+        return best[-1][1], best[-1][0]
+
+
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_pretokens, n_tokens, score (sum of the best forward scores). No shuffle."""
     scores = sent(docs.sparkSession, vocabulary(path))
@@ -82,13 +101,13 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             words, tokens, total = [], [], []
             for text in batch.column(1).fill_null("").to_pylist():
-                if len(trie.forward) > MOST:
-                    trie.clear()
-                known, n, t, s = trie.terminal, 0, 0, []
+                n, t, s = 0, 0, []
                 for word, times in Counter(text.split()).items():
-                    got = known.get(word)
+                    got = trie.terminal.get(word)
                     if got is None:
-                        got = known[word] = trie.insert(MARK + word)
+                        if len(trie.forward) > MOST:
+                            trie.clear()
+                        got = trie.terminal[word] = trie.insert(MARK + word)
                     n += times
                     t += times * got[0]
                     s.append(times * got[1])

@@ -6,7 +6,8 @@ by its Content-Length, and checks the digest of its payload while it passes by.
 
 Equal payloads of at least min_bytes are stored once, as the response with the largest page_id; the others are revisit
 records that name it. Null or empty html is an empty payload; null urls become about:blank. Repeated page_ids give
-repeated records (the response is any one of the rows with the largest id, by a tie number). Other columns are ignored.
+repeated records; of rows with the largest id and the same payload one is the response (the first by url), the others
+revisit it. Payloads of rows without a page_id are stored whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ class WarcError(ValueError):
 
 
 def plan(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """Rows (page_id, url, html, digest, refers_to, first): refers_to is null for responses.
+    """Rows (page_id, url, html, digest, refers_to): refers_to is null for responses.
 
     Keepers are found by partial maxima over (digest, salt), then over the digest, so no group of copies meets in one
     task; the lookup is salted in the same way."""
@@ -49,7 +50,16 @@ def plan(pages: DataFrame, min_bytes: int) -> DataFrame:
     groups = (parts.groupBy("digest").agg(F.max("keeper").alias("keeper"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts"))
               .where("n > 1").select("digest", "keeper", F.explode("salts").alias("salt")))
     out = rows.join(groups, ["digest", "salt"], "left")
-    return out.select("page_id", "url", "html", "digest", F.when(F.col("keeper") != F.col("page_id"), F.col("keeper")).alias("refers_to"))
+    out = out.select("page_id", "url", "html", "digest", "keeper", F.when(F.col("keeper") != F.col("page_id"), F.col("keeper")).alias("refers_to"))
+    twins = rows.where("large and page_id is not null").groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twins = saved(twins.select("digest", F.col("page_id").alias("keeper"), F.lit(True).alias("twin")), "twin-pages")
+    if not twins.isEmpty():         # rows of the largest id that share a payload are numbered; all but the first revisit
+        out = out.join(twins, ["digest", "keeper"], "left").withColumn("twin", F.coalesce(F.col("twin") & (F.col("keeper") == F.col("page_id")), F.lit(False)))
+        tied = saved(out.where("twin").withColumn("number", F.monotonically_increasing_id()), "tied-pages")
+        first = tied.groupBy("digest", "keeper").agg(F.min(F.struct("url", "number")).alias("first"))
+        tied = tied.join(first, ["digest", "keeper"]).withColumn("refers_to", F.when(F.col("first.number") != F.col("number"), F.col("keeper")))
+        out = out.where("not twin").select("page_id", "url", "html", "digest", "refers_to").union(tied.select("page_id", "url", "html", "digest", "refers_to"))
+    return out.select("page_id", "url", "html", "digest", "refers_to")
 
 
 def header(fields: list[tuple[str, object]], first: str) -> bytes:
