@@ -134,6 +134,10 @@ def test_prefix_trie_against_plain_version(spark, monkeypatch):
         convs[c] = [(r or "", t or "") for r, t in turns]
     rows += [(None, 0, "user", "x"), (70, 0, "user", "long " * 200_000), (71, 4, "user", "a"), (71, 4, "user", "a")]
     convs |= {70: [("user", "long " * 200_000)], 71: [("user", "a")] * 2}
+    for c, n, last in ((100, 60, "x"), (101, 60, "y"), (102, 40, ""), (103, 45, ""), (104, 60, "x"), (105, 17, "z"), (106, 90, "own"), (107, 16, "")):
+        deep = [(("user", "assistant")[i % 2], f"{'own' if c == 106 else 'deep'} {i}") for i in range(n - 1)] + [("user", last or f"deep {n - 1}")]
+        rows += [(c, i, *t) for i, t in enumerate(deep)]
+        convs[c] = deep
     rng.shuffle(rows)
     got = prefixtrie.prefix_trie(turns_of(spark, rows))
     assert got.columns == ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
