@@ -55,6 +55,27 @@ def mark(trips: DataFrame, rule: Rule = Rule(), identity: str = "auto", heavy: H
     return mark_timeline(trips, rule, identity, heavy).done()
 
 
+def mark_on(trips: DataFrame, seeds: DataFrame, rule: Rule = Rule(), identity: str = "person", heavy: Heavy | None = None) -> DataFrame:
+    """Marks of rentals whose bikes are marked up to a seed: its last marked rental before them. A bike has one seed or none;
+    the result equals marking its whole past."""
+    cols = ["bike", "t0", "ord", "st0", "t1", "st1", "dist_m", "who"]
+    d = trips.select(*cols, is_dud(rule).alias("dud"), F.lit(None).cast("long").alias("_seed"))
+    d = d.unionByName(seeds.select(*cols, "dud", F.col("streak").alias("_seed")))
+    rows = timeline(d, heavy).add(_prev=previous(F.struct("who", "dud", "t1")))
+    prev_dud, seed = F.coalesce(F.col("_prev.dud"), F.lit(False)), F.col("_seed").isNotNull()
+    retry = {
+        "person": F.coalesce(F.col("who") == F.col("_prev.who"), F.lit(False)),
+        "gap": prev_dud & F.coalesce(seconds_between("_prev.t1", "t0") < rule.retry_gap_sec, F.lit(False)),
+        "none": F.lit(False),
+    }[identity]
+    rows = rows.with_columns(retry=retry, _new=~prev_dud).add(
+        _people=running_sum(F.when(seed, F.col("_seed")).when(F.col("retry"), 0).otherwise(1)))
+    rows = rows.add(_start=running_max(F.when(seed, 0).when(F.col("_new"), F.col("_people"))))
+    rows = rows.with_columns(streak=(F.col("_people") - F.col("_start")).cast("long"))
+    rows = rows.with_columns(alarm=F.col("dud") & ~F.col("retry") & (F.col("streak") == rule.alarm_k - 1))
+    return rows.where(~seed).done().select(*cols, "dud", "retry", "streak", "alarm")
+
+
 def simple_streak(trips: DataFrame, rule: Rule, heavy: Heavy | None = None) -> DataFrame:
     """Given-up rentals in a row without asking who."""
     return mark(trips, rule, "none", heavy)

@@ -10,6 +10,7 @@ from . import (  # noqa: F401
     route_queries,
     scalar_queries,
     stream_queries,
+    tick_queries,
 )
 from .registry import ORACLES, QUERIES
 
