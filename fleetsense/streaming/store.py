@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 COMMIT = "kind string, name string, part string, path string, high long"
 
@@ -131,7 +132,7 @@ class Change:
         """Put ``rows`` in place of ``parts``; a part that gets no row is gone. They may be read from what they replace, whose
         folders stay as they are."""
         t = self.store.tables[table]
-        names = [f.strip().split()[0] for f in t.schema.split(",")]
+        names = StructType.fromDDL(t.schema).names
         high = F.unix_micros(F.max(t.time)) if t.time else F.lit(None).cast("long")
         rows = rows.select(*names, part.alias("part"))
         folder = f"{self.store.root}/data/{table}/{self.tag}-{uuid.uuid4().hex[:6]}"
@@ -144,6 +145,22 @@ class Change:
             known.pop(p, None)
         known.update({p: (f"{base}/part={p}", h) for p, h in found.items()})
 
+    def of_days(self, table: str, days: Iterable[str]) -> list[str]:
+        """Parts of a table of deltas (day@number) that belong to some days."""
+        days = set(days)
+        return [p for p in self.parts(table) if p.split("@")[0] in days]
+
+    def append(self, table: str, rows: DataFrame, day: Column, most: int = 8) -> None:
+        """Add a delta part for each day of ``rows``; a day that has ``most`` deltas is made one part again."""
+        self.replace(table, rows, F.concat(day, F.lit(f"@{self.state.number}")), [])
+        count: dict[str, int] = {}
+        for p in self.parts(table):
+            count[p.split("@")[0]] = count.get(p.split("@")[0], 0) + 1
+        full = [d for d, n in count.items() if n > most]
+        if full:
+            own = self.of_days(table, full)
+            self.replace(table, self.read(table, own), F.concat(day, F.lit(f"@{self.state.number}")), own)
+
     def retain(self, now_us: int) -> None:
         """Move the boundaries to what is kept at this time; drop parts that lie wholly before them."""
         for name, t in self.store.tables.items():

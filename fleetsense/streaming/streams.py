@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -9,31 +10,50 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ev import GAP_MINUTES
-from ..operators.timeline import Timeline, previous, saved
+from ..operators.timeline import Timeline, previous, running_max, running_sum, saved
 from ..rules import Rule
 from ..sources.sinks import replace_partitions
 from .live import read_or_none, run_available
+from .store import Change, Store, Table
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def drop_repeats(stream: DataFrame, keys: list[str], time: str, root: str) -> str:
+def committed(stream: DataFrame, store: Store, apply: Callable[[Change, DataFrame], None], name: str) -> Store:
+    """Run a stream whose batches are changes of a store; a batch that is committed is not applied again."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        change = store.change(name, batch_id)
+        if change is not None:
+            apply(change, batch)
+            change.commit()
+            store.vacuum()
+
+    run_available(stream, store.root, each, name)
+    return store
+
+
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{c}` {kind}" for c, kind in df.dtypes)
+
+
+def drop_repeats(stream: DataFrame, keys: list[str], time: str, root: str, day: str | None = None, buckets: int = 8) -> Store:
     """Identical rows of pages that are read again are dropped, however late or far apart; corrections differ in a key and
-    pass. Of the equal rows of a batch the earliest stays. Returns the folder of the rows."""
-    path = f"{root}/seen"
+    pass. Of the equal rows of a batch the earliest stays. A time among the keys may be given as
+    ``day``: equal rows share it, so a batch reads the stored rows of its own days only; else those of its own buckets of
+    keys. The rows are in the table "seen"."""
+    rest = sorted((c for c in stream.columns if c not in keys), key=lambda c: c != time)
+    store = Store(stream.sparkSession, f"{root}/seen", {"seen": Table(ddl(stream))})
+    part = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("string") if day is None else F.coalesce(F.date_format(day, "yyyy-MM-dd"), F.lit("none"))
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        new = batch.groupBy(*keys).agg(F.min(F.struct(time, *[c for c in batch.columns if c not in (time, *keys)])).alias("_r"))
-        new = new.select(*keys, "_r.*")
-        old = read_or_none(batch.sparkSession, path) if batch_id else None
-        if old is not None:
-            old = old.where(F.col("v") < batch_id).select(*[F.col(k).alias(f"_{k}") for k in keys])
-            new = new.join(old, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left_anti")
-        # folders are named by batch, so a replay overwrites its own output only
-        saved(new).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+    def apply(change: Change, batch: DataFrame) -> None:
+        new = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*") if rest else batch.select(*keys).distinct()
+        new = saved(new)
+        days = [r[0] for r in new.select(part).distinct().collect()]
+        old = change.read("seen", change.of_days("seen", days)).select(*[F.col(k).alias(f"_{k}") for k in keys])
+        new = new.join(old, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left_anti")
+        change.append("seen", new, part)
 
-    run_available(stream, root, each, "seen")
-    return path
+    return committed(stream, store, apply, "seen")
 
 
 def hourly_ledger(stream: DataFrame, root: str) -> str:
@@ -59,40 +79,57 @@ def ledger_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("t", "rows")
 
 
-def changes(stream: DataFrame, signature: Column, root: str) -> str:
-    """Charger snapshots whose signature differs from the last stored one; the last per charger is kept as a table."""
-    out, last = f"{root}/changes", f"{root}/last"
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = read_or_none(spark, f"{last}/v={batch_id - 1}") if batch_id else None
-        rows = batch.withColumn("sig", signature)
-        cols = ["charger", "at", "ord", "sig"]
-        before = F.lit(False)
-        rows = rows.select(*cols).withColumn("_old", before)
-        if state is not None:
-            rows = rows.unionByName(state.select(*cols).withColumn("_old", F.lit(True)))
-        m = saved(Timeline(rows, "charger", ["at", "ord"]).add(_p=previous(F.struct("sig"))).done())
+def changes(stream: DataFrame, signature: Column, root: str, buckets: int = 4, keep_days: int | None = None) -> Store:
+    """Charger snapshots whose signature differs from the last stored one, in the table "changes", by day; the last signature
+    of each charger is a table "last", by bucket: a batch reads and replaces the buckets of its own chargers only. With
+    ``keep_days``, older changes go, as seen from the newest snapshot of a batch."""
+    cols = ["charger", "at", "ord", "sig"]
+    kinds = dict(stream.dtypes)
+    schema = f"charger {kinds['charger']}, at timestamp, ord {kinds['ord']}, sig string"
+    store = Store(stream.sparkSession, f"{root}/ev", {"changes": Table(schema, "at", keep_days), "last": Table(schema)})
+    bucket = F.pmod(F.xxhash64("charger"), F.lit(buckets)).cast("string")
+
+    def apply(change: Change, batch: DataFrame) -> None:
+        rows = saved(batch.withColumn("sig", signature.cast("string")).select(*cols, F.lit(False).alias("_old")))
+        mine = [r[0] for r in rows.select(bucket).distinct().collect()]
+        last = change.read("last", mine)
+        both = rows.unionByName(last.select(*cols, F.lit(True).alias("_old")))
+        m = saved(Timeline(both, "charger", ["at", "ord"]).add(_p=previous(F.struct("sig"))).done())
         new = m.where(~F.col("_old") & (F.col("_p").isNull() | ~F.col("_p.sig").eqNullSafe(F.col("sig"))))
-        # folders are named by batch, so a replay overwrites its own output only
-        new.select(*cols).write.mode("overwrite").parquet(f"{out}/v={batch_id}")
-        m.groupBy("charger").agg(F.max_by(F.struct("at", "ord", "sig"), F.struct("at", "ord")).alias("r")).select(
-            "charger", "r.*").write.mode("overwrite").parquet(f"{last}/v={batch_id}")
-
-    run_available(stream, root, each, "changes")
-    return out
-
-
-def collection_sessions(stream: DataFrame, key: str, time: str, root: str, gap_minutes: int = GAP_MINUTES) -> str:
-    """Segments of collection per source as session windows (complete mode: few rows, one per segment)."""
-    path = f"{root}/sessions"
-    s = stream.withWatermark(time, "1 hour").groupBy(key, F.session_window(time, f"{gap_minutes} minutes").alias("w")).agg(
-        F.count("*").alias("runs"), F.max(time).alias("until"))
-    d = s.select(key, F.col("w.start").alias("start"), "until", "runs")
-    q = (d.writeStream.outputMode("complete").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(path))
-         .option("checkpointLocation", f"{root}/offsets-sessions").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return path
+        change.append("changes", new.select(*cols), F.date_format("at", "yyyy-MM-dd"))
+        newest = m.groupBy("charger").agg(F.max_by(F.struct("at", "ord", "sig"), F.struct("at", "ord")).alias("r")).select("charger", "r.*")
+        change.replace("last", newest, bucket, mine)
+        if keep_days is not None:
+            change.retain(rows.agg(F.max(F.unix_micros("at"))).first()[0])
+
+    return committed(stream, store, apply, "changes")
+
+
+def collection_sessions(stream: DataFrame, key: str, time: str, root: str, gap_minutes: int = GAP_MINUTES,
+                        name: str = "sessions") -> Store:
+    """Segments of collection per source, in the table "segments": runs not more than the gap apart, however late or out of
+    order they come. A batch makes segments of its own runs and merges them with the stored ones that they touch; parts by
+    day of start whose segments all ended long before are not read."""
+    gap = gap_minutes * 60_000_000
+    kind = dict(stream.dtypes)[key]
+    store = Store(stream.sparkSession, f"{root}/segments", {"segments": Table(f"{key} {kind}, start timestamp, until timestamp, runs long", "until")})
+    day = F.date_format("start", "yyyy-MM-dd")
+
+    def joined(rows: DataFrame) -> DataFrame:
+        """Segments (key, start, until, runs) that overlap or lie within the gap become one."""
+        d = Timeline(rows, key, ["start", "until"]).add(_end=running_max(F.unix_micros("until"), here=False))
+        d = d.with_columns(_new=F.coalesce((F.unix_micros("start") - F.col("_end") > gap).cast("int"), F.lit(1))).add(_g=running_sum(F.col("_new"))).done()
+        return d.groupBy(key, "_g").agg(F.min("start").alias("start"), F.max("until").alias("until"), F.sum("runs").alias("runs")).drop("_g")
+
+    def apply(change: Change, batch: DataFrame) -> None:
+        new = saved(joined(batch.where(F.col(time).isNotNull()).select(key, F.col(time).alias("start"), F.col(time).alias("until"), F.lit(1).cast("long").alias("runs"))))
+        span = new.agg(F.min(F.unix_micros("start")).alias("lo"), F.date_format(F.max(F.timestamp_micros(F.unix_micros("until") + gap)), "yyyy-MM-dd").alias("hi")).first()
+        if span.lo is None:
+            return
+        near = [p for p, (_, high) in change.state.parts.get("segments", {}).items() if p <= span.hi and high >= span.lo - gap]
+        change.replace("segments", joined(change.read("segments", near).unionByName(new)), day, near)
+
+    return committed(stream, store, apply, name)
 
 
 def _stateful(stream: DataFrame, key: str, processor, schema: str, root: str, name: str) -> str:

@@ -102,7 +102,7 @@ def test_changes_and_ledger_over_batches(spark, tmp_path):
 
     def stream():
         return spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {r.ord for r in spark.read.parquet(streams.changes(stream(), F.col("stat"), str(tmp_path / "s"))).collect()}
+    got = {r.ord for r in streams.changes(stream(), F.col("stat"), str(tmp_path / "s")).read("changes").collect()}
     last, want = {}, set()
     for c, _, o, s in rows:
         if last.get(c) != s:
@@ -138,5 +138,45 @@ def test_repeats_late_and_far_apart_over_batches(spark, tmp_path):
     for p in range(4):
         d.where(F.floor(F.col("n") / 7) == p).drop("n").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(d.drop("n").schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = spark.read.parquet(streams.drop_repeats(stream, ["charger", "stat"], "at", str(tmp_path / "s"))).collect()
+    got = streams.drop_repeats(stream, ["charger", "stat"], "at", str(tmp_path / "s")).read("seen").collect()
     assert len(got) == 7 and {(r.charger, r.stat) for r in got} == {(r[0], r[1]) for r in rows}
+
+
+def test_a_batch_reads_the_days_that_it_touches(spark, tmp_path):
+    """Over many batches the stored rows that one of them reads stay as few as those of its days."""
+    read, plain = [], streams.Change.read
+
+    def watched(self, table, parts=None):
+        out = plain(self, table, parts)
+        read.append(out.count())
+        return out
+
+    d = spark.range(0, 24 * 15).select((F.col("id") % 7).alias("key"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 3_600_000_000).alias("at"), F.col("id").alias("n"))
+    for p in range(15):
+        d.where((F.col("n") >= 24 * p) & (F.col("n") < 24 * (p + 1))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streams.Change.read = watched
+    try:
+        store = streams.drop_repeats(stream, ["key", "at"], "at", str(tmp_path / "s"), "at")
+    finally:
+        streams.Change.read = plain
+    assert store.read("seen").count() == 24 * 15 and len(read) >= 15 and max(read) <= 48
+
+
+def test_sessions_in_any_order(spark, tmp_path):
+    minutes = [0, 10, 35, 61, 80, 200, 226, 250, 1400, 1420, 1446, 2900]      # gaps of 25 stay joined, longer ones part
+    rows = [(k, BASE + dt.timedelta(minutes=m)) for k in ("a", "b") for m in minutes if k == "a" or m % 20 == 0]
+    d = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "op string, at timestamp, n long")
+    want = []
+    for k in ("a", "b"):
+        own = sorted(t for op, t in rows if op == k)
+        for t in own:
+            if want and want[-1][0] == k and t - want[-1][2] <= dt.timedelta(minutes=25):
+                want[-1] = (k, want[-1][1], t, want[-1][3] + 1)
+            else:
+                want.append((k, t, t, 1))
+    for part in (1, 0, 2):
+        d.where(F.col("n") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).select("op", "at")
+    got = streams.collection_sessions(stream, "op", "at", str(tmp_path / "s")).read("segments").collect()
+    assert sorted(tuple(r) for r in got) == sorted((k, a.replace(tzinfo=None), b.replace(tzinfo=None), n) for k, a, b, n in want)
