@@ -143,37 +143,53 @@ def _stateful(stream: DataFrame, key: str, processor, schema: str, root: str, na
     return path
 
 
-def limit_reports(stream: DataFrame, root: str, most: int = 3, minutes: int = 10) -> str:
-    """Accept at most three reports per bike in ten minutes, counting accepted ones only (keyed state)."""
-    from pyspark.sql.streaming import StatefulProcessor
+def limit_reports(stream: DataFrame, root: str, most: int = 3, minutes: int = 10, name: str = "reports") -> Store:
+    """Accept at most three reports per bike in ten minutes, counting accepted ones only, in the order of (at, id).
 
+    The table "reports" holds every report with its decision, by day. The answer does not depend on how the input is cut into
+    batches or ordered: a batch decides its bikes' reports anew from its earliest one on, from the accepted ones in the
+    window before it; nothing is dropped for being late. Reports that come twice count once. A task passes over sorted
+    reports and holds at most ``most`` times. Reports without a time are left out."""
     window = minutes * 60_000_000
+    kinds = dict(stream.dtypes)
+    store = Store(stream.sparkSession, f"{root}/reports", {"reports": Table(f"id {kinds['id']}, bike {kinds['bike']}, at timestamp, accepted boolean", "at")})
+    day = F.date_format("at", "yyyy-MM-dd")
+
+    def decide(batches):
+        import pyarrow as pa
+
+        bike, kept = None, []
+        for batch in batches:
+            flags = []
+            for b, us, seed in zip(*(batch.column(i).to_pylist() for i in range(1, 4)), strict=True):
+                if b != bike:
+                    bike, kept = b, []
+                kept = [k for k in kept if k > us - window]
+                flags.append(seed or len(kept) < most)
+                if flags[-1]:
+                    kept.append(us)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(flags, pa.bool_())], ["id", "bike", "us", "seed", "accepted"])
 
-    class Limit(StatefulProcessor):
-        def init(self, handle):
-            self.recent = handle.getValueState("recent", "times array<bigint>")
-
-        def handleInputRows(self, key, rows, timerValues):
-            import pandas as pd
-
-            kept = list(self.recent.get()[0]) if self.recent.exists() else []
-            for pdf in rows:
-                pdf = pdf.sort_values(["us", "id"])
-                flags = []
-                for t in pdf["us"]:
-                    kept = [k for k in kept if k > t - window]
-                    ok = len(kept) < most
-                    if ok:
-                        kept.append(int(t))
-                    flags.append(ok)
-                yield pd.DataFrame({"id": pdf["id"], "bike": pdf["bike"], "accepted": flags})
-            self.recent.update((kept,))
-
-        def close(self):
-            pass
+    def apply(change: Change, batch: DataFrame) -> None:
+        new = saved(batch.where(F.col("at").isNotNull()).select("id", "bike", "at").distinct())
+        low = new.agg(F.date_format(F.timestamp_micros(F.min(F.unix_micros("at")) - window), "yyyy-MM-dd")).first()[0]
+        if low is None:
+            return
+        parts = [p for p in change.parts("reports") if p >= low]
+        old = change.read("reports", parts)
+        new = saved(new.join(old.select("id"), "id", "left_anti"))
+        first = new.groupBy(F.col("bike").alias("_bike")).agg(F.min("at").alias("_first"))
+        old = old.join(first, F.col("bike").eqNullSafe(F.col("_bike")), "left")
+        stay = F.col("_first").isNull() | (F.col("at") < F.col("_first"))
+        seeds = old.where(F.col("accepted") & (F.col("at") < F.col("_first")) & (F.unix_micros("at") > F.unix_micros("_first") - window))
+        row = ["id", "bike", F.unix_micros("at").alias("us")]
+        todo = new.select(*row, F.lit(False).alias("seed")).unionByName(old.where(~stay).select(*row, F.lit(False).alias("seed")))
+        todo = todo.unionByName(seeds.select(*row, F.lit(True).alias("seed")))
+        done = todo.repartition("bike").sortWithinPartitions("bike", "us", "id").mapInArrow(decide, f"id {kinds['id']}, bike {kinds['bike']}, us long, seed boolean, accepted boolean")
+        done = done.where("not seed").select("id", "bike", F.timestamp_micros("us").alias("at"), "accepted")
+        change.replace("reports", old.where(stay).select("id", "bike", "at", "accepted").unionByName(done), day, parts)
 
-    d = stream.select("id", "bike", F.unix_micros("at").alias("us"))
-    return _stateful(d, "bike", Limit(), "id bigint, bike string, accepted boolean", root, "reports")
+    return committed(stream, store, apply, name)
 
 
 def ordered_alarms(stream: DataFrame, root: str, rule: Rule = Rule()) -> str:

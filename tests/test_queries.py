@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 # training and routes are covered by their own tests; the rest must at least run
-@pytest.mark.parametrize("name", ["snapshot_json", "live_snapshot", "rate_limit", "step_timings", "day_bootstrap_range", "transfer_eval"])
+@pytest.mark.parametrize("name", ["snapshot_json", "live_snapshot", "step_timings", "day_bootstrap_range", "transfer_eval"])
 def test_rows_only_query_runs(spark, name):
     assert entry.queries()[name](spark, FOLDER).count() >= 1
 

@@ -84,9 +84,10 @@ def test_report_limit(spark, tmp_path):
     rows = [(i, f"b{i % 3}", BASE + dt.timedelta(seconds=40 * i)) for i in range(120)]
     d = spark.createDataFrame(rows, "id long, bike string, at timestamp")
     for p in range(2):
-        d.where(F.floor(F.col("id") / 60) == p).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        d.where(F.col("id") % 2 == p).unionByName(d.where(F.col("id") < 10 * p)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))    # late and repeated
     s = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {r.id: r.accepted for r in spark.read.parquet(streams.limit_reports(s, str(tmp_path / "s"))).collect()}
+    got = {r.id: r.accepted for r in streams.limit_reports(s, str(tmp_path / "s")).read("reports").collect()}
+    assert len(got) == len(rows) and not all(got.values())
     kept = {}
     for i, b, t in rows:
         recent = [x for x in kept.get(b, []) if x > t - dt.timedelta(minutes=10)]
