@@ -28,11 +28,9 @@ def live_list(trips: DataFrame, now: Column, stations: DataFrame, rule: Rule = R
               heavy: Heavy | None = None) -> DataFrame:
     """Bikes whose chain is unbroken now: last rental within 24 h, given up, second person or later.
 
-    A chain of two needs two duds in a row, so bikes without one are dropped before marking; the answer is the same.
+    The week is read and moved once: marks and the last rental of a bike come from the same exchange.
     """
-    window = known_window(trips, now)
-    found = chains.candidates(window, now, FRESH_HOURS, rule, heavy)
-    m = chains.mark(window.join(found, "bike", "left_semi"), rule, identity, heavy)
+    m = chains.mark(known_window(trips, now), rule, identity, heavy)
     last = chains.last_row(m, "bike").withColumn("chain", S.chain_after())
     last = last.where((F.col("chain") >= rule.alarm_k) & (F.col("t1") >= now - F.expr(f"interval {FRESH_HOURS} hours")))
     out = with_station(last.withColumn("station", F.col("st1")), stations)
