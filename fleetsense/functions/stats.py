@@ -57,5 +57,6 @@ def top_by_count(df: DataFrame, score: Column, tie: list[str], k: Column, by: tu
 
 
 def draws(seed: int, r: str, j: str, n: Column) -> Column:
-    """Reproducible draw in 0..n-1 from the hash of (seed, replicate, position)."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(r), F.col(j)), n)
+    """Reproducible draw in 0..n-1 from the first 60 bits of the MD5 of "seed-replicate-position", which any engine can repeat."""
+    text = F.concat_ws("-", F.lit(seed).cast("string"), F.col(r).cast("string"), F.col(j).cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long") % n

@@ -299,7 +299,11 @@ def _(t):
         (100 * (F.sum("ya") / F.sum("na") - F.sum("yb") / F.sum("nb"))).alias("diff_pct"))
 
 
-@query("day_bootstrap_range")
+@query("day_bootstrap_range", sql("smpp", """, d as (select cast("at" as date) as "day", count(*) filter (where p >= 0.4) na, count(*) filter (where p >= 0.4 and y) ya, count(*) filter (where chain >= 3) nb, count(*) filter (where chain >= 3 and y) yb from smpp group by 1),
+    m as (select *, row_number() over (order by "day") - 1 i, count(*) over () n from d),
+    w as (select r, ('0x' || substr(md5('0-' || r || '-' || j), 1, 15))::bigint % (select max(n) from m) i from range(1000) a(r), range((select max(n) from m)) b(j)),
+    x as (select r, sum(ya) / greatest(1, sum(na)) - sum(yb) / greatest(1, sum(nb)) d from w join m on m.i = w.i group by 1)
+    select count(*) replicates, 100 * quantile_cont(d, 0.025) lo_pct, 100 * quantile_cont(d, 0.975) hi_pct from x"""))
 def _(t):
     d = scored(t).select(F.to_date("at").alias("day"), "y", (F.col("p") >= 0.4).alias("a"), (F.col("chain") >= 3).alias("b"))
     return T.day_bootstrap(d, 1000)
