@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.stats import quantiles
-from ..operators import lists as L, metrics as A
+from ..operators import lists as L, metrics as A, report
 from ..operators.temporal import asof, lead_times, within_hours
 from ..operators.timeline import saved
 from ..sources import readers as I, sinks as O
@@ -228,6 +228,35 @@ def _(t):
     return reduce(DataFrame.unionByName, [report_row(t, "all")])
 
 
+@query("result_report_by_set", sql("trips faults", """, r0 as (select * exclude (who), case when cast(bike as bigint) % 3 = 0 then 'B' else 'A' end city, strftime(t0, '%Y-%m') as month,
+      case when cast(bike as bigint) % 3 <> 0 then who end who, st0 = st1 and t1 - t0 <= interval 180 seconds and dist_m < 300 dud from trips),
+    r1 as (select *, coalesce(lag(dud) over w, false) pd, case city when 'A' then coalesce(who = lag(who) over w, false)
+      else coalesce(lag(dud) over w and epoch_us(t0) - epoch_us(lag(t1) over w) < 120000000, false) end retry from r0 window w as (partition by city, month, bike order by t0, ord)),
+    r2 as (select *, sum(case when pd then 0 else 1 end) over (partition by city, month, bike order by t0, ord) run from r1),
+    r3 as (select *, row_number() over (partition by city, month, bike, run order by t0, ord) rn from r2),
+    r4 as (select *, cast(sum(case when rn > 1 and not retry then 1 else 0 end) over (partition by city, month, bike, run order by t0, ord) as bigint) streak from r3),
+    mk as materialized (select *, dud and not retry and streak = 1 alarm from r4),
+    sp as (select city, month, min(t0) lo, max(t0) hi from mk group by 1, 2),
+    fa as (select sp.city, sp.month, f.*, f.t between lo and hi inspan from faults f join sp on sp.city = 'A' where cast(f.bike as bigint) % 3 <> 0),
+    ld as (select f.city, f.month, f.bike, f.t, min(a.t1) alarm_at from fa f left join mk a on a.alarm and a.city = f.city and a.month = f.month and a.bike = f.bike
+      and a.t1 < f.t and a.t1 > f.t - interval 7 days where f.inspan group by all),
+    le as (select *, (epoch_us(t) - epoch_us(alarm_at)) / 3.6e9 lead_h, case when alarm_at is not null then (select count(*) from mk m where m.city = ld.city and m.month = ld.month
+      and m.bike = ld.bike and m.dud and m.t0 > alarm_at and m.t0 < t) end duds_between from ld),
+    l2 as (select city, month, cast(100 as double) * count(alarm_at) / count(*) lead_share_pct, round(quantile_cont(lead_h, 0.5), 9) lead_h_median,
+      cast(sum(duds_between) as double) / nullif(count(alarm_at), 0) victims_mean from le group by 1, 2),
+    u as (select city, month, cast(100 as double) * count(*) filter (where not exists (select 1 from fa f where f.city = m.city and f.month = m.month and f.bike = m.bike and f.t > m.t1 and f.t <= m.t1 + interval 7 days)) / count(*) unreported_pct
+      from mk m where city = 'A' and dud and not retry and streak >= 1 group by 1, 2),
+    g as (select city, month, count(*) trips, cast(100 as double) * count(*) filter (where dud) / count(*) dud_pct, """
+    + ", ".join(f"cast(100 as double) * count(*) filter (where dud and not retry and streak = {k}) / nullif(count(*) filter (where not retry and streak = {k}), 0) k{k}" for k in range(4))
+    + """, cast(count(*) filter (where not retry and streak >= 2 and dud) as double) / count(distinct cast(t0 as date)) per_day from mk group by 1, 2)
+    select g.*, lead_share_pct, lead_h_median, victims_mean, unreported_pct from g left join l2 using (city, month) left join u using (city, month)"""))
+def _(t):
+    # the second city has neither person keys nor fault reports
+    second = F.col("bike").cast("long") % 3 == 0
+    trips = t.trips.withColumns({"city": F.when(second, "B").otherwise("A"), "month": F.date_format("t0", "yyyy-MM"), "who": F.when(~second, F.col("who"))})
+    return report.by_city_and_month(trips, t.faults.where(~second).withColumn("city", F.lit("A")))
+
+
 def report_row(t, name: str) -> DataFrame:
     """One headline row per data set; reports of several are a union of these."""
     m = t.marked
