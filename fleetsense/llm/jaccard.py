@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: classes of near-duplicate texts by rare-first prefix filtering, exact to the last link.
+"""N-gram Jaccard join: links between near-duplicate texts by rare-first prefix filtering, exact to the last link.
 
 A document is the set of its distinct n-word shingles, as 56-bit hashes. Equal sets are one class with one representative.
 1. Shingles are counted over all representatives. A shingle of one text only can meet nothing, so only shared shingles
@@ -6,9 +6,12 @@ A document is the set of its distinct n-word shingles, as 56-bit hashes. Equal s
 2. Two sets with Jaccard >= t share a shingle in their first n - ceil(t n) + 1 places. Texts whose prefix is all unique
    are done. Length and positional filters look at sizes and places, a suffix filter compares the parts below and above
    a probe shingle; pairs that are left are verified once, on the shared shingles.
-3. Posting lists of large groups are not turned into all pairs: every list first links its members with one pivot (the
-   member with the least rarer shingles, in later turns one by hash). After those links are merged into components, only
-   pairs of different components remain to be looked at, and all of these are.
+3. ``join`` gives out every link between representatives, and who is represented by whom. Pairs come from the posting
+   lists of prefix shingles; a long list is cut into blocks, and each two blocks meet in a cell of their own, so no task
+   holds more of a list than two blocks. ``with_links`` counts links and names components from that.
+4. ``near_duplicates`` wants components only and need not see every link: every list first links its members with one
+   pivot (the member with the least rarer shingles, in later turns one by hash). After those links are merged into
+   components, only pairs of different components remain to be looked at, and all of these are.
 
 Null, empty or wordless texts have no shingles and no links. Rows that share a doc_id are one document, with the text of
 fewest shingles (then smallest signature). Null doc_ids give one row without a component. Other columns are ignored; an
@@ -34,6 +37,7 @@ BITS = 56
 MARK = np.int64(-1) << 62       # stands for COMMON documents of one task
 SALTS = 32
 TURNS = 3                       # pivots of a posting list
+BLOCK = 1_000                   # members of a posting list in one block
 
 
 def shingles(batch: pa.RecordBatch, hasher: Hasher, column: int, n: int) -> Iterator[np.ndarray]:
@@ -165,7 +169,7 @@ def may_link(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column
 
 
 def verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked. The suffix filter counts the shingles on both sides of a's middle one."""
+    """The pairs (a, b) that are linked, their sizes and overlap. The suffix filter counts the shingles on both sides of a's middle one."""
     side = lambda s: live.select(F.col("doc").alias(s), F.col("n").alias(f"n_{s}"), F.col("ranks").alias(f"r_{s}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("least", required(F.col("n_a"), F.col("n_b"), percent))
     probe = F.element_at("r_a", F.floor(F.size("r_a") / 2).cast("int") + 1)
@@ -173,7 +177,8 @@ def verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumn("low_b", F.size(F.filter("r_b", lambda x: x < F.col("probe"))))
     above = F.least(F.size("r_a") - F.col("low_a"), F.size("r_b") - F.col("low_b"))
     rows = rows.where(F.least("low_a", "low_b") + above >= F.col("least"))
-    return rows.where(F.size(F.array_intersect("r_a", "r_b")) >= F.col("least")).select("a", "b")
+    rows = rows.withColumn("overlap", F.size(F.array_intersect("r_a", "r_b")).cast("long")).where(F.col("overlap") >= F.col("least"))
+    return rows.select("a", "b", "n_a", "n_b", "overlap")
 
 
 def pivot_pairs(postings: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -213,6 +218,33 @@ def rest_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.where(F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= required(F.col("n"), F.col("m"), percent)).select("a", "b")
 
 
+def cells(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two copies of the postings with columns row and column: two members of a list meet in one cell, the one of the
+    lower block from the first copy and the other from the second; members of one block meet on the diagonal, both ways."""
+    long = postings.groupBy("rank").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > BLOCK)
+    long = long.select("rank", F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks"))
+    rows = postings.join(long, "rank", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    low = rows.withColumn("row", F.col("block")).withColumn("column", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    high = rows.withColumn("column", F.col("block")).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), "block")))
+    return low, high
+
+
+def all_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b), a < b, that share a prefix shingle and pass the length and positional filters, each once.
+
+    A pair that shares the shingle ahead of this one too has already met there, with the same room; it is not made again."""
+    x, y = (d.select("rank", "row", "column", *(F.col(c).alias(f"{s}_{c}") for c in ("doc", "n", "unique", "place", "ahead")))
+            for s, d in zip("xy", cells(postings), strict=True))
+    one, two = ({c: F.col(f"{s}_{c}") for c in ("place", "n", "unique")} for s in "xy")
+    both = x.join(y, ["rank", "row", "column"]).where((F.col("row") < F.col("column")) | (F.col("x_doc") < F.col("y_doc")))
+    both = both.where(F.coalesce(F.col("x_ahead") != F.col("y_ahead"), F.lit(True)) & may_link(one, two, percent))
+    room = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+    pairs = both.groupBy(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).agg(
+        F.max(room).alias("room"), F.first(required(F.col("x_n"), F.col("y_n"), percent)).alias("least"))
+    return pairs.where(F.col("room") >= F.col("least")).select("a", "b")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(doc, label): the smallest doc reachable over links (a, b), for docs with links.
 
@@ -235,8 +267,9 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("doc"), F.col("v").alias("label")).union(roots)
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links, the document's own where it has none."""
+def prepared(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What both joins need: profiles of all rows, (doc_id, n, text_hash, head) of each document, lists of shared shingles
+    and postings of the prefixes, these two for representatives that can meet another one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
     rows = saved(profile(docs.select("doc_id", "text_hash", "text"), n), "profiles")
@@ -261,6 +294,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     live = saved(lists.withColumn("open", (prefix - F.col("unique")).cast("int")).where("open > 0"), "live")
     postings = live.select("doc", "n", "unique", "ranks", F.posexplode(F.slice("ranks", F.lit(1), F.col("open"))).alias("i", "rank"))
     postings = saved(postings.select("rank", "doc", "n", "unique", (F.col("unique") + F.col("i")).alias("place"), F.get("ranks", F.col("i") - 1).alias("ahead")), "postings")
+    return rows, member, live, postings
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links, the document's own where it has none."""
+    rows, member, live, postings = prepared(docs, n, percent)
     labels = links = None
     for turn in range(TURNS):
         pairs = pivot_pairs(still_open(postings, labels), percent, turn)
@@ -274,8 +313,37 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         labels = components(links.union(more))
     out = member.join(labels.select(F.col("doc").alias("head"), "label"), "head", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "head").alias("component_id"))
-    nulls = rows.where("doc_id is null").groupBy("doc_id").agg(F.min("n").alias("n_shingles")).withColumn("component_id", F.lit(None).cast("long"))
-    return out.union(nulls)
+    return out.union(without_id(rows).withColumn("component_id", F.lit(None).cast("long")))
+
+
+def without_id(rows: DataFrame) -> DataFrame:
+    return rows.where("doc_id is null").groupBy("doc_id").agg(F.min("n").alias("n_shingles"))
+
+
+def join(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All links (a, b, n_a, n_b, overlap), a < b, between classes of equal sets, each verified once; the membership
+    (doc_id, n, head) of every document in its class, whose name is its smallest doc_id; and the profiles of all rows.
+
+    Two documents link if their classes do, or if they are in one class and have shingles."""
+    rows, member, live, postings = prepared(docs, n, percent)
+    return saved(verified(all_pairs(postings, percent), live, percent), "all-links"), member.select("doc_id", "n", "head"), rows
+
+
+def with_links(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id, n_links: the smallest doc_id reachable by links, the smallest with an
+    equal set, and the number of other documents linked with this one. Documents without shingles stand alone, with no
+    links; the row for null ids has nulls in the last three columns."""
+    links, member, rows = join(docs, n, percent)
+    sizes = saved(member.where("n > 0").groupBy("head").agg(F.count(F.lit(1)).alias("size")), "class-sizes")
+    ends = links.select(F.col("a").alias("head"), F.col("b").alias("other")).union(links.select("b", "a"))
+    degrees = ends.join(sizes.withColumnRenamed("head", "other"), "other").groupBy("head").agg(F.sum("size").alias("degree"))
+    labels = components(links).withColumnRenamed("doc", "head")
+    known = sizes.join(degrees, "head", "left").join(labels, "head", "left").where("size > 1 or degree is not null")
+    out = member.join(known, "head", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "head").alias("component_id"), F.col("head").alias("class_id"),
+        (F.coalesce("degree", F.lit(0)) + F.coalesce(F.col("size") - 1, F.lit(0))).cast("long").alias("n_links"))
+    none = F.lit(None).cast("long")
+    return out.union(without_id(rows).withColumns({"component_id": none, "class_id": none, "n_links": none}))
 
 
 ship(__name__)

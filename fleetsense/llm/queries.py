@@ -40,12 +40,15 @@ t as (select s.* from s join f using (g)),
 o as (select x.doc_id as a, y.doc_id as b, count(*) as o from t x join t y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
 e as (select a, b from o join n p on p.doc_id = a join n q on q.doc_id = b where 100 * o >= 85 * (p.n + q.n - o)),
 r(doc_id, c) as (select a, a from e union select r.doc_id, e.b from r join e on e.a = r.c),
-m as (select doc_id, min(c) as c from r group by doc_id)
-select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, coalesce(m.c, w.doc_id)) as component_id
-from w left join n using (doc_id) left join m using (doc_id)""".replace("UP", UPPER).replace("LOW", LOWER))
+m as (select doc_id, min(c) as c from r group by doc_id),
+l as (select a as doc_id, count(*) as n_links from e group by 1),
+k as (select a as doc_id, min(b) as same from o join n p on p.doc_id = a join n q on q.doc_id = b where o = p.n and o = q.n group by 1)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, coalesce(m.c, w.doc_id)) as component_id,
+  least(w.doc_id, coalesce(k.same, w.doc_id)) as class_id, coalesce(l.n_links, 0) as n_links
+from w left join n using (doc_id) left join m using (doc_id) left join l using (doc_id) left join k using (doc_id)""".replace("UP", UPPER).replace("LOW", LOWER))
 def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Components of documents whose four-word shingle sets have a Jaccard similarity of 0.85 or more."""
-    return jaccard.near_duplicates(table(spark, folder, "documents"), n=4, percent=85)
+    """Links of documents whose four-word shingle sets have a Jaccard similarity of 0.85 or more: how many, and components."""
+    return jaccard.with_links(table(spark, folder, "documents"), n=4, percent=85)
 
 
 @query()
