@@ -8,10 +8,12 @@ A document is the set of its distinct n-word shingles, as 56-bit hashes. Equal s
    a probe shingle; pairs that are left are verified once, on the shared shingles.
 3. ``join`` gives out every link between representatives, and who is represented by whom. Pairs come from the posting
    lists of prefix shingles; a long list is cut into blocks, and each two blocks meet in a cell of their own, so no task
-   holds more of a list than two blocks. ``with_links`` counts links and names components from that.
+   holds more of a list than two blocks. Its rows grow with the square of a group of different near copies.
 4. ``near_duplicates`` wants components only and need not see every link: every list first links its members with one
    pivot (the member with the least rarer shingles, in later turns one by hash). After those links are merged into
    components, only pairs of different components remain to be looked at, and all of these are.
+5. ``with_links`` adds every document's number of links. All links lie inside components, so each two blocks of a component
+   meet in one task, which counts the overlaps of their texts and gives out one number per text, no pairs.
 
 Null, empty or wordless texts have no shingles and no links. Rows that share a doc_id are one document, with the text of
 fewest shingles (then smallest signature). Null doc_ids give one row without a component. Other columns are ignored; an
@@ -38,6 +40,7 @@ MARK = np.int64(-1) << 62       # stands for COMMON documents of one task
 SALTS = 32
 TURNS = 3                       # pivots of a posting list
 BLOCK = 1_000                   # members of a posting list in one block
+CELL = 250_000                  # shared shingles of the texts in one block of a component
 
 
 def shingles(batch: pa.RecordBatch, hasher: Hasher, column: int, n: int) -> Iterator[np.ndarray]:
@@ -297,9 +300,8 @@ def prepared(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
     return rows, member, live, postings
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links, the document's own where it has none."""
-    rows, member, live, postings = prepared(docs, n, percent)
+def labelled(postings: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """(doc, label): the component of each linked representative."""
     labels = links = None
     for turn in range(TURNS):
         pairs = pivot_pairs(still_open(postings, labels), percent, turn)
@@ -311,6 +313,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     more = saved(verified(rest_pairs(still_open(postings, labels), percent), live, percent), "more-links")
     if not more.isEmpty():
         labels = components(links.union(more))
+    return labels
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links, the document's own where it has none."""
+    rows, member, live, postings = prepared(docs, n, percent)
+    labels = labelled(postings, live, percent)
     out = member.join(labels.select(F.col("doc").alias("head"), "label"), "head", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "head").alias("component_id"))
     return out.union(without_id(rows).withColumn("component_id", F.lit(None).cast("long")))
@@ -329,15 +338,51 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Dat
     return saved(verified(all_pairs(postings, percent), live, percent), "all-links"), member.select("doc_id", "n", "head"), rows
 
 
+def link_counts(texts: DataFrame, percent: int) -> DataFrame:
+    """(head, degree), to be added up by head: how many documents of other classes link with it.
+
+    ``texts``: head, n, ranks, label, size. The texts of a component are dealt into blocks by hash; two blocks meet in one
+    cell, a block meets itself in another, so every pair of texts is compared in exactly one cell."""
+    long = texts.groupBy("label").agg(F.sum(F.size("ranks")).alias("shingles")).where(F.col("shingles") > CELL)
+    long = long.select("label", F.ceil(F.col("shingles") / CELL).cast("long").alias("blocks"))
+    rows = texts.select("head", "n", "ranks", "label", "size").join(long, "label", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("head"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumns({"row": F.least("block", "other"), "column": F.greatest("block", "other")}).drop("blocks", "other")
+
+    def count(cell: pa.Table) -> pa.Table:
+        head, n, size, block = (cell.column(c).to_numpy() for c in ("head", "n", "size", "block"))
+        low, high = (np.flatnonzero(block == cell.column(c)[0].as_py()) for c in ("row", "column"))
+        alone = cell.column("row")[0].as_py() == cell.column("column")[0].as_py()
+        lists = [x.values.to_numpy() for x in cell.column("ranks")]
+        degree = np.zeros(len(head), np.int64)
+        if len(low) and len(high):
+            ranks, owner = np.concatenate([lists[y] for y in high]), np.repeat(np.arange(len(high)), [len(lists[y]) for y in high])
+            order = np.argsort(ranks, kind="stable")
+            ranks, owner = ranks[order], owner[order]
+            for x in low:
+                first, last = np.searchsorted(ranks, lists[x], "left"), np.searchsorted(ranks, lists[x], "right")
+                times = last - first
+                hits = np.repeat(first - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+                overlap = np.bincount(owner[hits], minlength=len(high))
+                linked = high[(100 * overlap >= percent * (n[x] + n[high] - overlap)) & (high != x)]
+                degree[x] += size[linked].sum()
+                if not alone:
+                    degree[linked] += size[x]
+        return pa.table({"head": pa.array(head[degree > 0], pa.int64()), "degree": pa.array(degree[degree > 0], pa.int64())})
+
+    return rows.groupBy("label", "row", "column").applyInArrow(count, "head long, degree long")
+
+
 def with_links(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id, n_links: the smallest doc_id reachable by links, the smallest with an
     equal set, and the number of other documents linked with this one. Documents without shingles stand alone, with no
     links; the row for null ids has nulls in the last three columns."""
-    links, member, rows = join(docs, n, percent)
+    rows, member, live, postings = prepared(docs, n, percent)
+    labels = saved(labelled(postings, live, percent).withColumnRenamed("doc", "head"), "labels")
     sizes = saved(member.where("n > 0").groupBy("head").agg(F.count(F.lit(1)).alias("size")), "class-sizes")
-    ends = links.select(F.col("a").alias("head"), F.col("b").alias("other")).union(links.select("b", "a"))
-    degrees = ends.join(sizes.withColumnRenamed("head", "other"), "other").groupBy("head").agg(F.sum("size").alias("degree"))
-    labels = components(links).withColumnRenamed("doc", "head")
+    texts = live.withColumnRenamed("doc", "head").join(labels, "head").join(sizes, "head")
+    degrees = link_counts(texts, percent).groupBy("head").agg(F.sum("degree").alias("degree"))
     known = sizes.join(degrees, "head", "left").join(labels, "head", "left").where("size > 1 or degree is not null")
     out = member.join(known, "head", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "head").alias("component_id"), F.col("head").alias("class_id"),

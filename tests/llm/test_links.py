@@ -44,6 +44,7 @@ def corpus(seed, rows):
 @pytest.mark.parametrize(("block", "n", "percent"), [(1_000, 4, 85), (3, 4, 85), (2, 5, 80)])
 def test_links_against_all_pairs(spark, monkeypatch, block, n, percent):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "CELL", block * 50)
     texts = corpus(block, 150)
     wanted, sets = plain(texts, n, percent)
     d = spark.createDataFrame(texts, SCHEMA)
