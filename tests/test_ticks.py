@@ -122,3 +122,47 @@ def test_retention_keeps_what_the_rule_keeps(spark, tmp_path):
     assert store.vacuum(keep=2) == 0 and reader.count() == 15 * 24              # a running reader is left alone
     store.change("main", 2).commit()
     assert store.vacuum(keep=2) > 0 and store.read("rides").count() == 9 * 24 + 1 and store.commits() == [1, 2]
+
+
+def test_pages_come_from_one_reading_of_the_source(spark, tmp_path):
+    from fleetsense.plans import tick_queries as Q
+
+    rows = [(i, dt.datetime(2024, 1, 26) + dt.timedelta(hours=2 * i) if i % 11 else None) for i in range(70)]
+    d = spark.createDataFrame(rows, "ord long, t1 timestamp")
+    got = Q.pages(d, f"file://{tmp_path}/pages")
+    ticks = [dt.datetime.fromisoformat(t) for t in Q.TICKS]
+    wanted = []
+    for i, t1 in rows:
+        first = t1 and next((k for k, at in enumerate(ticks) if t1 + dt.timedelta(hours=30 * (i % 10 == 3)) <= at), None)
+        if first is not None:
+            wanted += [(i, first)] + ([(i, first + 1)] if i % 7 == 0 and first + 1 < len(ticks) else [])
+    assert sorted((r.ord, r.page) for r in got.collect()) == sorted(wanted)
+
+
+def test_work_of_a_tick_follows_what_changed(spark, tmp_path, monkeypatch):
+    """Joins with tables that have no parts fall away, and labels read no day before the first open alarm or sample."""
+    store, stations = setup(spark, tmp_path, "s")
+    keys = spark.range(5).select(F.col("id").cast("string").alias("bike"))
+    assert "Join" not in keys.join(store.read("rides"), "bike", "left")._jdf.queryExecution().optimizedPlan().toString()
+    rows, start = random_trips(n=900), dt.datetime(2026, 6, 5, 9)
+    one, two = pages(spark, rows, [start, start + dt.timedelta(hours=6)])
+    run = K.tick(store, stations, F.max("landed_at"))
+    run(one, 0)
+    days, plain, stage = [], K.Tick.rides, []
+
+    def rides(self, since=None, until=None, buckets=None):
+        if stage[-1] == "settle":
+            days.append(since)
+        return plain(self, since, until, buckets)
+
+    monkeypatch.setattr(K.Tick, "rides", rides)
+    K.tick(store, stations, F.max("landed_at"), before=stage.append)(two, 1)
+    assert len(days) == 1 and days[0] >= start.replace(hour=0) - dt.timedelta(days=2)
+
+
+def test_newest_marked_row_is_told_in_the_same_scan(spark):
+    d = frame(spark, random_trips(seed=3, n=120))
+    first = chains.mark(d.where("ord < 60"), identity="person")
+    got = chains.mark_on(d.where("ord >= 60"), chains.last_row(first, "bike"))
+    wanted = chains.last_row(got, "bike").select("bike", "ord")
+    assert sorted(got.where("newest").select("bike", "ord").collect()) == sorted(wanted.collect())
