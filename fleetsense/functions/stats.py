@@ -35,15 +35,15 @@ def quantiles(df: DataFrame, value: Column, probs: list[float], names: list[str]
     return rows.groupBy(*by).agg(F.max("_n").alias("_nn"), *aggs).select(*by, *outs)
 
 
-def auc(df: DataFrame, score: Column, label: Column) -> DataFrame:
-    """Rank AUC with average ranks for ties, from counts per distinct score."""
-    counts = (df.select(score.cast("double").alias("_v"), label.cast("int").alias("_y")).where(F.col("_v").isNotNull())
-              .groupBy("_v").agg(F.sum("_y").alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg")))
-    rows = ordered(counts, [], ["_v"]).add(_below=running_sum(F.col("_neg"), here=False)).done()
+def auc(df: DataFrame, score: Column, label: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rank AUC with average ranks for ties, from counts per distinct score, one row per group."""
+    counts = (df.select(*by, score.cast("double").alias("_v"), label.cast("int").alias("_y")).where(F.col("_v").isNotNull())
+              .groupBy(*by, "_v").agg(F.sum("_y").alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg")))
+    rows = ordered(counts, list(by), ["_v"]).add(_below=running_sum(F.col("_neg"), here=False)).done()
     wins = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0))
     pairs = F.sum("_pos") * F.sum("_neg")
-    return rows.agg(F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"),
-                      F.when(pairs > 0, wins / pairs).alias("auc"))
+    return rows.groupBy(*by).agg(F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"),
+                                 F.when(pairs > 0, wins / pairs).alias("auc"))
 
 
 def top_by_count(df: DataFrame, score: Column, tie: list[str], k: Column, by: tuple[str, ...] = ()) -> DataFrame:

@@ -99,28 +99,41 @@ def evaluate(scored: DataFrame, name: str) -> DataFrame:
 
 
 def permutation_importance(rows: DataFrame, features: list[str], model: dict = M.STARTER, repeats: int = 5, seed: int = 0) -> DataFrame:
-    """AUC lost when one feature is shuffled. A shuffle is a self-join of two hash orders inside hash buckets."""
+    """AUC lost when one feature is shuffled: the row at a place of one hash order gets the value of the row at the same place
+    of another, inside hash buckets. All features and repeats go through one pass; a group is a feature's bucket."""
+    used = [f for f in features if f in str(model["trees"])]
+    if not used:        # a model of bare constants
+        return rows.sparkSession.createDataFrame([], "feature string, auc_drop double")
     rows = saved(rows.withColumn("_h", F.xxhash64("bike", "ord", "at")))
-    n = rows.count()
-    buckets = max(1, n // 100_000)
+    buckets = max(1, rows.count() // 100_000)
     base = auc(rows.withColumn("p", M.probability(model)), F.col("p"), F.col("y")).select("auc").scalar()
-    out = []
-    for f in features:
-        if f not in str(model["trees"]):
-            continue
-        for r in range(repeats):
-            def numbered(salt: int, keep: list[str]):
-                h = F.xxhash64("_h", F.lit(seed), F.lit(r), F.lit(salt), F.lit(f))
-                w = Window.partitionBy("_b").orderBy(h, "_h")
-                return rows.withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets))).select("_b", F.row_number().over(w).alias("_i"), *keep)
-            other = [c for c in features if c != f]
-            mixed = numbered(1, other + ["y"]).join(numbered(2, [f]), ["_b", "_i"])
-            out.append(auc(mixed.withColumn("p", M.probability(model)), F.col("p"), F.col("y")).select(
-                F.lit(f).alias("feature"), F.lit(r).alias("r"), "auc"))
-    if not out:         # a model of bare constants
-        return rows.sparkSession.createDataFrame([], "feature string, auc_drop double")
-    d = reduce(DataFrame.unionByName, out)
-    return d.groupBy("feature").agg((F.max(base) - F.avg("auc")).alias("auc_drop"))
+    every = rows.select("_h", F.pmod(F.col("_h"), F.lit(buckets)).alias("_b"), *[F.col(f).cast("double").alias(f) for f in features],
+                        F.col("y").cast("double").alias("y"), F.explode(F.array(*[F.lit(f) for f in used])).alias("feature"))
+    given, pairs = F.coalesce(*[F.when(F.col("feature") == f, F.col(f)) for f in used]), range(repeats)
+    every = every.select("*", given.alias("_v"), *[F.xxhash64("_h", F.lit(seed), F.lit(r), F.lit(salt), "feature").alias(f"_o{salt}_{r}")
+                                                   for r in pairs for salt in (1, 2)])
+    kept = ["feature", *features, "y"]
+
+    def mix(d):
+        import numpy as np
+
+        value, out = d["_v"].to_numpy(), d[kept].copy()
+        for r in pairs:
+            to, of = (np.lexsort((d["_h"].to_numpy(), d[f"_o{salt}_{r}"].to_numpy())) for salt in (1, 2))
+            mixed = np.empty_like(value)
+            mixed[to] = value[of]
+            out[f"_m{r}"] = mixed
+        return out
+
+    schema = "feature string, " + ", ".join(f"`{c}` double" for c in [*features, "y", *(f"_m{r}" for r in pairs)])
+    mixed = every.groupBy("feature", "_b").applyInPandas(mix, schema)
+    # each repeat's features come out of the array as columns, so the model's expression reads them instead of repeating them
+    swapped = F.array(*[F.struct(F.lit(r).alias("r"), "y", *[F.when(F.col("feature") == f, F.col(f"_m{r}")).otherwise(F.col(f)).alias(f) for f in features])
+                        for r in pairs])
+    mixed = mixed.select("feature", F.inline(swapped))
+    d = auc(mixed.withColumn("p", M.probability(model)), F.col("p"), F.col("y"), ("feature", "r"))
+    names = rows.sparkSession.createDataFrame([(f,) for f in used], "feature string")
+    return names.join(d, "feature", "left").groupBy("feature").agg((F.max(base) - F.avg("auc")).alias("auc_drop"))
 
 
 def day_sums(rows: DataFrame) -> DataFrame:

@@ -65,3 +65,30 @@ def test_parts_are_months_or_equal_slices_of_all_rows(spark):
         return [r.part for r in got.orderBy("at").collect()], found
     assert parts(["2024-01-01", "2024-01-31", "2024-02-01", "2024-02-07", "2024-04-30"]) == ([24289, 24289, 24290, 24290, 24292], [24289, 24290, 24292])
     assert parts(["2024-01-01", "2024-01-02", "2024-01-05", "2024-01-10"]) == ([0, 0, 1, 2], [0, 1, 2])
+
+
+def test_importance_equals_a_plain_shuffle_in_two_auc_passes(spark, monkeypatch):
+    rng = random.Random(5)
+    data = [(f"b{i % 40}", i, i % 7, rng.randrange(2, 6), rng.randrange(9), rng.random() if i % 9 else None, rng.random() < .3 + .1 * (i % 3)) for i in range(400)]
+    d = spark.createDataFrame(data, "bike string, ord long, at int, chain long, hist7_duds long, shun double, y boolean")
+    feats, trees = ["chain", "hist7_duds", "shun"], {"init": -.2, "scale": 1.0, "trees": [("chain", 3.5, -.4, ("hist7_duds", 4.5, .1, .7)), ("hist7_duds", 2.5, .3, -.2)]}
+
+    def value(n, r):
+        return n if isinstance(n, float) else value(n[2] if r[n[0]] <= n[1] else n[3], r)
+
+    def plain_auc(rows):
+        s = [(sum(value(t, r) for t in trees["trees"]), r["y"]) for r in rows]
+        yes, no = [a for a, y in s if y], [a for a, y in s if not y]
+        return sum((round(a - b, 9) > 0) + (round(a - b, 9) == 0) / 2 for a in yes for b in no) / len(yes) / len(no)
+
+    h, wanted = d.withColumn("_h", F.xxhash64("bike", "ord", "at")), {}
+    for f in feats[:2]:
+        drops = []
+        for r in range(3):
+            one, two = (h.orderBy(F.xxhash64("_h", F.lit(0), F.lit(r), F.lit(salt), F.lit(f)), "_h").collect() for salt in (1, 2))
+            drops.append(plain_auc([a.asDict() | {f: b[f]} for a, b in zip(one, two)]))
+        wanted[f] = plain_auc([r.asDict() for r in h.collect()]) - sum(drops) / 3
+    calls, plain = [], training.auc
+    monkeypatch.setattr(training, "auc", lambda *a: calls.append(a) or plain(*a))
+    got = {r.feature: r.auc_drop for r in training.permutation_importance(d, feats, trees, repeats=3).collect()}
+    assert got == pytest.approx(wanted, abs=1e-9) and len(calls) == 2
